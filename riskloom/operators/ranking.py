@@ -149,7 +149,10 @@ def _last_of_groups(total: int, groups: int) -> list[int]:
 
 
 def _beyond(column: str, value) -> Column:
-    """True where the row's value sorts strictly after ``value`` (Spark's default NULL order)."""
+    """True where the row's value sorts strictly after ``value``, else false.
+
+    NULL comes first in ascending and last in descending order, as in Spark's sort.
+    """
     c = F.col(plain_name(column))
     if column.startswith("-"):
         return F.lit(False) if value is None else (c.isNull() | (c < F.lit(value)))
@@ -157,10 +160,11 @@ def _beyond(column: str, value) -> Column:
 
 
 def _after(order: Sequence[str], row: Row) -> Column:
+    """True where the row sorts after ``row``: equal in some first columns, beyond in the next."""
     steps = []
     for i, column in enumerate(order):
         same = [F.col(plain_name(c)).eqNullSafe(F.lit(row[plain_name(c)])) for c in order[:i]]
-        steps.append(reduce(and_, [*same, F.coalesce(_beyond(column, row[plain_name(column)]), F.lit(False))]))
+        steps.append(reduce(and_, [*same, _beyond(column, row[plain_name(column)])]))
     return reduce(or_, steps)
 
 

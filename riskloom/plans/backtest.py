@@ -118,7 +118,7 @@ def backtest(
             {
                 "cum": F.col("wealth") - 1,
                 "bnh": F.col("bnh_wealth") - 1,
-                "drawdown": (F.col("wealth") - F.col("peak")) / F.col("peak"),
+                "drawdown": ratio(F.col("wealth") - F.col("peak"), "peak"),
             }
         )
         .rows()

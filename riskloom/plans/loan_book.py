@@ -284,7 +284,7 @@ def late_streak_by_employment(
 ) -> DataFrame:
     """Share of loans with at least ``streak`` late payments in a row, per employment type."""
     flagged = with_streak(
-        repayments,
+        repayments.select("customer_id", "loan_id", "payment_month", "days_late"),
         ["loan_id"],
         ["payment_month"],
         F.col("days_late") > 0,

@@ -65,7 +65,7 @@ def repayments(
 
     ``bound`` is the size of the biggest loan if the caller has counted it (``payment_bound``).
     """
-    lines = table(spark, folder, "lineitem")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", *PAYMENT_ORDER, "l_discount")
     if numbered:
         ordered = OrderedRows(lines, ["l_orderkey"], PAYMENT_ORDER, bound=bound)
         lines = ordered.position("_number").rows()
