@@ -17,19 +17,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from .skew import GROUP, HOT_ROWS, hot_keys, small_enough
 from .staging import stage
 
-HOT_ROWS = 2_000_000  # rows of one group that one task may sort
 MAX_PARTS = 20_000  # range partitions of one placement
-BROADCAST_ROWS = 1_000_000  # rows of a narrow table that may be broadcast
 
-GROUP, SERIAL, POS, BLOCK, HOME = "_group", "_serial", "_pos", "_block", "_home"
+SERIAL, POS, BLOCK, HOME = "_serial", "_pos", "_block", "_home"
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 _RUNNING = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "product": F.product}
@@ -45,21 +42,6 @@ def plain_name(column: str) -> str:
     return column.removeprefix("-")
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group: one aggregate, one number to the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
-def small_enough(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast hint for a narrow table whose counted rows are below the bound, else no hint."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
-def null_safe(left: DataFrame, right: DataFrame, pairs: Mapping[str, str]) -> Column:
-    return reduce(and_, [left[a].eqNullSafe(right[b]) for a, b in pairs.items()])
-
-
 def _merged(how: str, carried: Column, local: Column) -> Column:
     if how == "max":
         return F.greatest(carried, local)
@@ -104,19 +86,10 @@ class OrderedRows:
                 self.groups, self.cold = 1, None
                 self.hot = self._place(df.withColumn(GROUP, F.lit(0).cast("long")), total)
             return
-        names = {k: f"_key_{k}" for k in self.keys}
-        sizes = df.groupBy(*[F.col(k).alias(names[k]) for k in self.keys]).agg(
-            F.count(F.lit(1)).alias("_rows")
-        )
-        sizes = sizes.where(F.col("_rows") > self.hot_rows)
-        if sizes.isEmpty():
-            return
-        big = stage(sizes.withColumn(GROUP, F.monotonically_increasing_id()), "hot-keys")
-        self.groups, total = big.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-        big = small_enough(big.drop("_rows"), self.groups)
-        match = null_safe(df, big, names)
-        self.cold = df.join(big, match, "left_anti")
-        self.hot = self._place(df.join(big, match, "inner").drop(*names.values()), total)
+        hot = hot_keys(df, self.keys, self.hot_rows)
+        if hot is not None:
+            self.groups, self.cold = hot.count, hot.cold(df)
+            self.hot = self._place(hot.hot(df), hot.rows)
 
     def _place(self, df: DataFrame, total: int) -> DataFrame:
         parts = min(MAX_PARTS, math.ceil(total / self.hot_rows) + 1)

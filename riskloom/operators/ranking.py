@@ -9,14 +9,8 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .ordered import (
-    HOT_ROWS,
-    MAX_PARTS,
-    OrderedRows,
-    null_safe,
-    plain_name,
-    sort_columns,
-)
+from .ordered import MAX_PARTS, OrderedRows, plain_name, sort_columns
+from .skew import HOT_ROWS, lookup_join
 from .staging import stage
 
 CUT_GROUPS = 256  # quantile groups up to which the cut rows are fetched one by one
@@ -92,19 +86,32 @@ def with_value_ranks(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add chosen ranks to every row; ``names`` maps rank, dense_rank, percent_rank to columns."""
-    ranks = value_ranks(df, order, keys=keys, hot_rows=hot_rows)
-    return attach_ranks(df, ranks, [*keys, plain_name(order)], names)
+    ranks = stage(value_ranks(df, order, keys=keys, hot_rows=hot_rows), "ranks")
+    bound = ranks.agg(F.max("rows_here")).first()[0] or 0
+    on = [*keys, plain_name(order)]
+    return attach_ranks(df, ranks, on, names, hot_rows=hot_rows, bound=bound)
 
 
 def attach_ranks(
-    df: DataFrame, ranks: DataFrame, on: Sequence[str], names: dict[str, str]
+    df: DataFrame,
+    ranks: DataFrame,
+    on: Sequence[str],
+    names: dict[str, str],
+    *,
+    hot_rows: int = HOT_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
-    """Join ranks per value back to rows, NULL values included."""
+    """Join ranks per value back to rows, NULL values included.
+
+    ``bound`` is the most rows of ``df`` that share a value.
+    """
+    pairs = {c: f"_on_{c}" for c in on}
     right = ranks.select(
-        *[F.col(c).alias(f"_on_{c}") for c in on], *[F.col(r).alias(n) for r, n in names.items()]
+        *[F.col(c).alias(n) for c, n in pairs.items()],
+        *[F.col(r).alias(n) for r, n in names.items()],
     )
-    match = null_safe(df, right, {c: f"_on_{c}" for c in on})
-    return df.join(right, match).drop(*[f"_on_{c}" for c in on])
+    joined = lookup_join(df, right, pairs, null_safe=True, hot_rows=hot_rows, bound=bound)
+    return joined.drop(*pairs.values())
 
 
 def rows_at(df: DataFrame, order: Sequence[str], positions) -> list[Row]:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
 from ..functions.expr import ratio, value_map
-from ..operators.ordered import HOT_ROWS, OrderedRows
+from ..operators.ordered import OrderedRows
+from ..operators.skew import HOT_ROWS
 from .panel import rolling_sharpe_column
 
 SERIES = ["model", "target"]

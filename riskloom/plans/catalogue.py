@@ -16,7 +16,8 @@ from pyspark.sql.types import BooleanType, DateType, DoubleType, TimestampNTZTyp
 from .. import fixed_values as fv
 from ..functions import expr as e
 from ..operators import ranking, shares
-from ..operators.ordered import OrderedRows, largest_group
+from ..operators.ordered import OrderedRows
+from ..operators.skew import HOT_ROWS, largest_group
 from ..operators.staging import new_path, stage
 from ..sources import files, schemas
 from ..sources import shared_tables as src
@@ -71,38 +72,39 @@ def _on_book(report) -> Query:
     )
 
 
-def _numbered(spark, folder):
-    """Payments with their number in the loan, and the size of the longest loan."""
+def _payments(spark, folder, numbered=False, hot_rows=HOT_ROWS):
+    """Payments, with their number in the loan if asked, and the size of the longest loan."""
     bound = largest_group(src.payment_keys(spark, folder), ["loan_id"])
-    return src.repayments(spark, folder, numbered=True, bound=bound), bound
+    rows = src.repayments(spark, folder, numbered=numbered, bound=bound, hot_rows=hot_rows)
+    return rows, bound
 
 
 def _collection_trend(spark, folder):
-    return tidy(lb.collection_trend(src.repayments(spark, folder), DATE_FROM, DATE_TO))
+    return tidy(lb.collection_trend(_payments(spark, folder)[0], DATE_FROM, DATE_TO))
 
 
 def _cumulative(spark, folder):
-    payments, bound = _numbered(spark, folder)
+    payments, bound = _payments(spark, folder, numbered=True)
     return tidy(lb.cumulative_collections(payments, bound=bound), 6)
 
 
 def _late_streak(spark, folder):
-    payments, bound = _numbered(spark, folder)
+    payments, bound = _payments(spark, folder, numbered=True)
     return tidy(lb.late_streak_by_employment(payments, src.borrowers(spark, folder), bound=bound))
 
 
 def _partial_payments(spark, folder):
-    return tidy(lb.partial_payments(src.repayments(spark, folder), src.loans(spark, folder)))
+    return tidy(lb.partial_payments(_payments(spark, folder)[0], src.loans(spark, folder)))
 
 
 def _early_defaults(spark, folder):
-    payments, _ = _numbered(spark, folder)
+    payments, _ = _payments(spark, folder, numbered=True)
     book = src.loans(spark, folder), src.borrowers(spark, folder)
     return tidy(lb.early_defaults(payments, *book, **TIMING))
 
 
 def _rolling_collections(spark, folder):
-    return tidy(lb.rolling_collections(src.repayments(spark, folder), src.loans(spark, folder)))
+    return tidy(lb.rolling_collections(_payments(spark, folder)[0], src.loans(spark, folder)))
 
 
 REPORTS: dict[str, Query] = {

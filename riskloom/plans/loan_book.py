@@ -34,9 +34,10 @@ from ..functions.expr import (
     weighted_mean,
     year_of,
 )
-from ..operators.ordered import HOT_ROWS, OrderedRows
+from ..operators.ordered import OrderedRows
 from ..operators.ranking import attach_ranks, ntile_of, top_k, value_ranks
 from ..operators.shares import concentration, joined_text, total_of, with_share
+from ..operators.skew import HOT_ROWS
 from ..operators.staging import stage
 
 
@@ -577,7 +578,7 @@ def exposure_ranking(
         hot_rows=hot_rows,
     )
     top_scored = attach_ranks(
-        top, scores, ["credit_score"], {"percent_rank": "credit_score_percentile"}
+        top, scores, ["credit_score"], {"percent_rank": "credit_score_percentile"}, bound=k
     )
     # a dense rank counts the distinct amounts above, so smaller amounts need no sorting
     least = top.groupBy(F.col("loan_purpose").alias("_purpose")).agg(
@@ -594,6 +595,7 @@ def exposure_ranking(
         in_product,
         ["loan_purpose", "loan_amount"],
         {"dense_rank": "rank_within_product"},
+        bound=k,
     )
     return top_k(done, order, k).drop("loan_purpose", "loan_id")
 

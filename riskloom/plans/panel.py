@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed_values as fv
-from ..operators.ordered import HOT_ROWS, OrderedRows
+from ..operators.ordered import OrderedRows
+from ..operators.skew import HOT_ROWS
 
 # -- calendar ------------------------------------------------------------------------------
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import OrderedRows
+from ..operators.skew import HOT_ROWS, lookup_join
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -59,15 +60,22 @@ PAYMENT_ORDER = [
 
 
 def repayments(
-    spark: SparkSession, folder: str, *, numbered: bool = False, bound: int | None = None
+    spark: SparkSession,
+    folder: str,
+    *,
+    numbered: bool = False,
+    hot_rows: int = HOT_ROWS,
+    bound: int | None = None,
 ) -> DataFrame:
     """Payments per loan. ``numbered`` adds ``payment_month``, the payment's number in its loan.
 
-    ``bound`` is the size of the biggest loan if the caller has counted it (``payment_bound``).
+    ``bound`` is the size of the biggest loan if the caller has counted it.
     """
     lines = table(spark, folder, "lineitem").select("l_orderkey", *PAYMENT_ORDER, "l_discount")
     if numbered:
-        ordered = OrderedRows(lines, ["l_orderkey"], PAYMENT_ORDER, bound=bound)
+        ordered = OrderedRows(
+            lines, ["l_orderkey"], PAYMENT_ORDER, hot_rows=hot_rows, bound=bound
+        )
         lines = ordered.position("_number").rows()
     o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     due = F.col("l_extendedprice")
@@ -85,7 +93,8 @@ def repayments(
     ]
     if numbered:
         columns.append(F.col("_number").cast("int").alias("payment_month"))
-    return lines.join(o, lines.l_orderkey == o.o_orderkey).select(*columns)
+    on = {"l_orderkey": "o_orderkey"}
+    return lookup_join(lines, o, on, hot_rows=hot_rows, bound=bound).select(*columns)
 
 
 def payment_keys(spark: SparkSession, folder: str) -> DataFrame:

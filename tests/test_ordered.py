@@ -9,7 +9,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordered import OrderedRows, largest_group
+from riskloom.operators.ordered import OrderedRows
+from riskloom.operators.skew import largest_group
 from riskloom.plans.loan_book import with_streak
 from riskloom.plans.panel import rolling_full
 
