@@ -194,7 +194,8 @@ RESCALED = {
     **FORECASTS,
     **FULL,
     "z": f"""SELECT * EXCLUDE (strat), CASE WHEN model = 'short trend' THEN
-             strat * 5e-2 / (PRODUCT(1 + strat) OVER ({SERIES}) - 1) ELSE strat END AS strat
+             strat * COALESCE(5e-2 / NULLIF(PRODUCT(1 + strat) OVER ({SERIES}) - 1, 0), 1)
+             ELSE strat END AS strat
              FROM s""",
     **growth("z"),
 }
@@ -204,7 +205,9 @@ SUMMARY = """SELECT model, target, arg_max(cum, date) AS CumReturn, arg_max(bnh,
              MIN(drawdown) AS MaxDrawdown FROM c GROUP BY model, target"""
 METRICS = """SELECT model, target, sqrt(AVG((actual - pred) ** 2)) AS RMSE,
              AVG(ABS(actual - pred)) AS MAE,
-             1 - SUM((actual - pred) ** 2) / (COUNT(*) * VAR_POP(actual)) AS R2,
+             CASE WHEN VAR_POP(actual) > 0
+                  THEN 1 - SUM((actual - pred) ** 2) / (COUNT(*) * VAR_POP(actual))
+                  WHEN MAX(ABS(actual - pred)) > 0 THEN 0 ELSE 1 END AS R2,
              AVG(CASE WHEN SIGN(actual) = SIGN(pred) THEN 1e0 ELSE 0e0 END) AS DirAcc
              FROM y GROUP BY model, target"""
 BACK_NAMES = ["CumReturn", "BnH", "Sharpe", "MaxDrawdown"]

@@ -24,7 +24,10 @@ SERIES = ["model", "target"]
 
 
 def forecast_metrics(predictions: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """RMSE, MAE, R2 and the share of rows whose signs agree (0 agrees with 0)."""
+    """RMSE, MAE, R2 and the share of rows whose signs agree (0 agrees with 0).
+
+    R2 of a constant outcome is 1 for a perfect forecast and 0 otherwise.
+    """
     y, p = F.col("actual"), F.col("pred")
     squared = F.sum(F.pow(y - p, F.lit(2)))
     spread = F.count(y) * F.var_pop(y)
@@ -32,7 +35,9 @@ def forecast_metrics(predictions: DataFrame, keys: Sequence[str] = SERIES) -> Da
     return predictions.groupBy(*keys).agg(
         F.sqrt(F.avg(F.pow(y - p, F.lit(2)))).alias("RMSE"),
         F.avg(F.abs(y - p)).alias("MAE"),
-        (F.lit(1.0) - ratio(squared, spread)).alias("R2"),
+        F.when(spread > 0, F.lit(1.0) - ratio(squared, spread))
+        .otherwise(F.when(squared > 0, 0.0).otherwise(1.0))
+        .alias("R2"),
         F.avg(agree).alias("DirAcc"),
     )
 

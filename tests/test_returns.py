@@ -249,9 +249,9 @@ def test_forecast_metrics(spark):
     assert got.DirAcc == 0.75  # 0 agrees with 0
 
 
-def test_constant_actual_has_no_r2(spark):
-    got = bt.forecast_metrics(predictions_frame(spark, [1.0, 2.0], [1.0, 1.0])).first()
-    assert got.R2 is None
+@pytest.mark.parametrize("preds,r2", [([1.0, 2.0], 0.0), ([1.0, 1.0], 1.0)])
+def test_r2_of_constant_actual(spark, preds, r2):
+    assert bt.forecast_metrics(predictions_frame(spark, preds, [1.0, 1.0])).first().R2 == r2
 
 
 def test_comparison_marks_best_and_first_wins_ties(spark):
