@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,16 +131,13 @@ def order_rank(value: ColumnOrName, ordered: Sequence[str]) -> Column:
     return value_map(value, {name: i for i, name in enumerate(ordered, start=1)})
 
 
-def month_of(date: ColumnOrName) -> Column:
-    return F.date_format(as_col(date), "yyyy-MM")
-
+def month_start(date: ColumnOrName) -> Column:
+    """First day of the month: group by it and format the few group keys afterwards."""
+    return F.trunc(as_col(date), "month")
 
-def year_of(date: ColumnOrName) -> Column:
-    return F.date_format(as_col(date), "yyyy")
 
-
-def row_sum(columns: Sequence[ColumnOrName]) -> Column:
-    return reduce(add, [as_col(c) for c in columns])
+def month_of(date: ColumnOrName) -> Column:
+    return F.date_format(as_col(date), "yyyy-MM")
 
 
 def clean_label(name: ColumnOrName, suffix: str = "_ret") -> Column:

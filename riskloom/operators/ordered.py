@@ -21,7 +21,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .skew import GROUP, HOT_ROWS, hot_keys, small_enough
+from .skew import GROUP, HOT_ROWS, GroupSizes, sizes_of, small_enough
 from .staging import stage
 
 MAX_PARTS = 20_000  # range partitions of one placement
@@ -55,7 +55,9 @@ class OrderedRows:
     """Rows of ``df`` in groups of ``keys``, each group ordered by ``order``.
 
     ``bound`` is an upper limit of group size that the caller has already checked, for instance
-    the length of a calendar; within ``hot_rows`` it makes the size check needless.
+    the length of a calendar; within ``hot_rows`` it makes the size check needless. ``sizes``
+    hands on a check that was made before. ``position`` names a column that already holds the
+    row's position in its group, from 1 without gaps; big groups then need no placement.
     """
 
     def __init__(
@@ -66,6 +68,8 @@ class OrderedRows:
         *,
         hot_rows: int = HOT_ROWS,
         bound: int | None = None,
+        sizes: GroupSizes | None = None,
+        position: str | None = None,
     ):
         self.keys = list(keys)
         self.order = list(order)
@@ -74,22 +78,28 @@ class OrderedRows:
         self.groups = 0
         self.cold: DataFrame | None = df
         self.hot: DataFrame | None = None
-        if bound is None or bound > hot_rows:
-            self._split(df)
+        if self.keys:
+            self._split(df, sizes_of(df, self.keys, hot_rows, bound, sizes), position)
+        elif bound is None or bound > hot_rows:
+            self._place_all(df)
 
     # -- preparation -----------------------------------------------------------------------
 
-    def _split(self, df: DataFrame) -> None:
-        if not self.keys:
-            total = df.count()
-            if total > self.hot_rows:
-                self.groups, self.cold = 1, None
-                self.hot = self._place(df.withColumn(GROUP, F.lit(0).cast("long")), total)
+    def _place_all(self, df: DataFrame) -> None:
+        total = df.count()
+        if total > self.hot_rows:
+            self.groups, self.cold = 1, None
+            self.hot = self._place(df.withColumn(GROUP, F.lit(0).cast("long")), total)
+
+    def _split(self, df: DataFrame, sizes: GroupSizes, position: str | None) -> None:
+        if sizes.hot is None:
             return
-        hot = hot_keys(df, self.keys, self.hot_rows)
-        if hot is not None:
-            self.groups, self.cold = hot.count, hot.cold(df)
-            self.hot = self._place(hot.hot(df), hot.rows)
+        self.groups, self.cold = sizes.hot.count, sizes.hot.cold(df)
+        rows = sizes.hot.hot(df)
+        if position is None:
+            self.hot = self._place(rows, sizes.hot.rows)
+        else:
+            self.hot = rows.withColumn(POS, F.col(position).cast("long") - 1)
 
     def _place(self, df: DataFrame, total: int) -> DataFrame:
         parts = min(MAX_PARTS, math.ceil(total / self.hot_rows) + 1)

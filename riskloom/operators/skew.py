@@ -3,26 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .staging import stage
 
 HOT_ROWS = 2_000_000  # rows of one key that one task may handle
 BROADCAST_ROWS = 1_000_000  # rows of a narrow table that may be broadcast
+DRIVER_KEYS = 1_000  # hot keys kept as a local table; more of them are staged
 GROUP = "_group"
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the biggest group: one aggregate, one number to the driver."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
-
-
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a narrow table whose counted rows are below the bound, else no hint."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -38,7 +34,7 @@ def key_match(
     return reduce(and_, each)
 
 
-@dataclass
+@dataclass(frozen=True)
 class HotKeys:
     """Keys with more than the allowed rows: at most all rows / allowed rows of them."""
 
@@ -48,30 +44,68 @@ class HotKeys:
     rows: int
 
     def cold(self, df: DataFrame) -> DataFrame:
-        return df.join(self._small(), key_match(df, self.table, self.names), "left_anti")
+        return df.join(self.small(), key_match(df, self.table, self.names), "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys with their ``_group``."""
-        joined = df.join(self._small(), key_match(df, self.table, self.names), "inner")
+        joined = df.join(self.small(), key_match(df, self.table, self.names), "inner")
         return joined.drop(*self.names.values())
 
-    def _small(self) -> DataFrame:
+    def small(self) -> DataFrame:
         return small_enough(self.table, self.count)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> HotKeys | None:
-    """Count rows per key, with map-side partial counts; None if every key is small."""
+@dataclass(frozen=True)
+class GroupSizes:
+    """What one count of the rows per key has shown; hand it on to every step on these keys.
+
+    Filters and lookups only make groups smaller, so it stays valid along a chain of steps.
+    """
+
+    hot: HotKeys | None = None  # None: every group is small
+
+    def renamed(self, columns: Mapping[str, str]) -> GroupSizes:
+        """The same sizes where key columns have new names."""
+        if self.hot is None:
+            return self
+        names = {columns.get(k, k): n for k, n in self.hot.names.items()}
+        return GroupSizes(replace(self.hot, names=names))
+
+
+def measure(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> GroupSizes:
+    """Count rows per key, with map-side partial counts, and keep the keys above ``hot_rows``."""
     names = {k: f"_key_{k}" for k in keys}
     sizes = (
         df.groupBy(*[F.col(k).alias(n) for k, n in names.items()])
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
     )
-    if sizes.isEmpty():
-        return None
-    table = stage(sizes.withColumn(GROUP, F.monotonically_increasing_id()), "hot-keys")
-    count, rows = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    return HotKeys(table.drop("_rows"), names, count, rows)
+    few = sizes.limit(DRIVER_KEYS + 1).collect()
+    if not few:
+        return GroupSizes()
+    if len(few) <= DRIVER_KEYS:
+        schema = StructType([*sizes.schema.fields, StructField(GROUP, LongType())])
+        table = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(few)], schema)
+        count, rows = len(few), sum(r["_rows"] for r in few)
+    else:
+        table = stage(sizes.withColumn(GROUP, F.monotonically_increasing_id()), "hot-keys")
+        count, rows = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
+    return GroupSizes(HotKeys(table.drop("_rows"), names, count, rows))
+
+
+def sizes_of(
+    df: DataFrame,
+    keys: Sequence[str],
+    hot_rows: int,
+    bound: int | None = None,
+    sizes: GroupSizes | None = None,
+) -> GroupSizes:
+    """Sizes as given, as implied by a known bound, or counted."""
+    if sizes is not None:
+        return sizes
+    if bound is not None and bound <= hot_rows:
+        return GroupSizes()
+    return measure(df, keys, hot_rows)
 
 
 def lookup_join(
@@ -82,20 +116,19 @@ def lookup_join(
     null_safe: bool = False,
     hot_rows: int = HOT_ROWS,
     bound: int | None = None,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Inner join of many rows to a table that has each key about once.
 
     Catalyst picks the join. Where a key of ``df`` has more than ``hot_rows`` rows, the rows of
     such keys stay where they are and meet the few table rows of these keys by broadcast; all
-    other rows are joined as usual. ``bound`` is the size of the biggest key if already counted.
+    other rows are joined as usual. ``bound`` or ``sizes`` spare the count of rows per key.
     """
-    hot = None
-    if bound is None or bound > hot_rows:
-        hot = hot_keys(df, list(pairs), hot_rows)
+    hot = sizes_of(df, list(pairs), hot_rows, bound, sizes).hot
     if hot is None:
         return df.join(table, key_match(df, table, pairs, null_safe=null_safe))
     same = {pairs[k]: n for k, n in hot.names.items()}
-    theirs = table.join(hot._small(), key_match(table, hot.table, same), "left_semi")
+    theirs = table.join(hot.small(), key_match(table, hot.table, same), "left_semi")
     few = stage(theirs, "hot-side")
     spread = df.join(
         small_enough(few, few.count()), key_match(df, few, pairs, null_safe=null_safe)

@@ -17,7 +17,6 @@ from .. import fixed_values as fv
 from ..functions import expr as e
 from ..operators import ranking, shares
 from ..operators.ordered import OrderedRows
-from ..operators.skew import HOT_ROWS, largest_group
 from ..operators.staging import new_path, stage
 from ..sources import files, schemas
 from ..sources import shared_tables as src
@@ -72,11 +71,16 @@ def _on_book(report) -> Query:
     )
 
 
-def _payments(spark, folder, numbered=False, hot_rows=HOT_ROWS):
-    """Payments, with their number in the loan if asked, and the size of the longest loan."""
-    bound = largest_group(src.payment_keys(spark, folder), ["loan_id"])
-    rows = src.repayments(spark, folder, numbered=numbered, bound=bound, hot_rows=hot_rows)
-    return rows, bound
+def _payments(spark, folder, numbered=False):
+    """Payments, with their number in the loan if asked, and the sizes of the loans."""
+    sizes = src.payment_sizes(spark, folder)
+    return src.repayments(spark, folder, numbered=numbered, sizes=sizes), sizes
+
+
+def _numbered(spark, folder):
+    """Numbered payments, and what the windows over them may take for granted."""
+    payments, sizes = _payments(spark, folder, numbered=True)
+    return payments, {"sizes": sizes, "position": "payment_month"}
 
 
 def _collection_trend(spark, folder):
@@ -84,13 +88,13 @@ def _collection_trend(spark, folder):
 
 
 def _cumulative(spark, folder):
-    payments, bound = _payments(spark, folder, numbered=True)
-    return tidy(lb.cumulative_collections(payments, bound=bound), 6)
+    payments, known = _numbered(spark, folder)
+    return tidy(lb.cumulative_collections(payments, **known), 6)
 
 
 def _late_streak(spark, folder):
-    payments, bound = _payments(spark, folder, numbered=True)
-    return tidy(lb.late_streak_by_employment(payments, src.borrowers(spark, folder), bound=bound))
+    payments, known = _numbered(spark, folder)
+    return tidy(lb.late_streak_by_employment(payments, src.borrowers(spark, folder), **known))
 
 
 def _partial_payments(spark, folder):
@@ -98,7 +102,7 @@ def _partial_payments(spark, folder):
 
 
 def _early_defaults(spark, folder):
-    payments, _ = _payments(spark, folder, numbered=True)
+    payments, _ = _numbered(spark, folder)
     book = src.loans(spark, folder), src.borrowers(spark, folder)
     return tidy(lb.early_defaults(payments, *book, **TIMING))
 

@@ -24,6 +24,7 @@ from ..functions.expr import (
     flag,
     mean_of_sums,
     month_of,
+    month_start,
     order_rank,
     pct,
     ratio,
@@ -32,12 +33,11 @@ from ..functions.expr import (
     tier,
     value_pct,
     weighted_mean,
-    year_of,
 )
 from ..operators.ordered import OrderedRows
 from ..operators.ranking import attach_ranks, ntile_of, top_k, value_ranks
 from ..operators.shares import concentration, joined_text, total_of, with_share
-from ..operators.skew import HOT_ROWS
+from ..operators.skew import HOT_ROWS, GroupSizes
 from ..operators.staging import stage
 
 
@@ -239,7 +239,7 @@ def collection_trend(
     inside = day.between(F.lit(date_from).cast("date"), F.lit(date_to).cast("date"))
     return (
         repayments.where(inside)
-        .groupBy(month_of(day).alias("month"))
+        .groupBy(month_start(day).alias("_month"))
         .agg(
             F.count(F.lit(1)).alias("payments_made"),
             scaled(F.sum("amount_paid"), fv.CRORE, 3).alias("collection_cr"),
@@ -247,6 +247,8 @@ def collection_trend(
             value_pct(F.sum("amount_paid"), F.sum("emi_due")).alias("collection_efficiency_pct"),
             count_if(F.col("days_late") > 0).alias("late_payments"),
         )
+        .select(month_of("_month").alias("month"), "*")
+        .drop("_month")
         .orderBy("month")
     )
 
@@ -256,15 +258,27 @@ def cumulative_collections(
     loan_ids: Sequence | None = None,
     *,
     hot_rows: int = HOT_ROWS,
-    bound: int | None = None,
+    sizes: GroupSizes | None = None,
+    position: str | None = None,
 ) -> DataFrame:
-    """Running total and three-payment mean per loan, for some loans or for all of them."""
+    """Running total and three-payment mean per loan, for some loans or for all of them.
+
+    ``sizes`` of the loans and ``position``, where payments are numbered without gaps, are
+    handed to ``OrderedRows``; neither changes a result.
+    """
     rows = repayments.select("loan_id", "payment_month", "payment_date", "amount_paid")
     if loan_ids is not None:
         rows = rows.where(F.col("loan_id").isin(list(loan_ids)))
     paid = F.col("amount_paid")
     done = (
-        OrderedRows(rows, ["loan_id"], ["payment_month"], hot_rows=hot_rows, bound=bound)
+        OrderedRows(
+            rows,
+            ["loan_id"],
+            ["payment_month"],
+            hot_rows=hot_rows,
+            sizes=sizes,
+            position=position,
+        )
         .by_range()
         .running({"cumulative_collected": ("sum", paid)})
         .nearby(
@@ -281,7 +295,8 @@ def late_streak_by_employment(
     streak: int = fv.LATE_STREAK,
     *,
     hot_rows: int = HOT_ROWS,
-    bound: int | None = None,
+    sizes: GroupSizes | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Share of loans with at least ``streak`` late payments in a row, per employment type."""
     flagged = with_streak(
@@ -292,7 +307,8 @@ def late_streak_by_employment(
         streak,
         "_streak",
         hot_rows=hot_rows,
-        bound=bound,
+        sizes=sizes,
+        position=position,
     )
     per_loan = flagged.groupBy("customer_id", "loan_id").agg(F.max("_streak").alias("has_streak"))
     per_borrower = per_loan.groupBy("customer_id").agg(
@@ -319,7 +335,8 @@ def with_streak(
     name: str,
     *,
     hot_rows: int = HOT_ROWS,
-    bound: int | None = None,
+    sizes: GroupSizes | None = None,
+    position: str | None = None,
 ) -> DataFrame:
     """Add 1 where this row and the ``length - 1`` rows before it all fulfil the rule, else 0."""
 
@@ -327,14 +344,15 @@ def with_streak(
         frame = w.rowsBetween(-(length - 1), 0)
         return flag((F.min("_hit").over(frame) == 1) & (F.count("_hit").over(frame) == length))
 
-    return (
-        OrderedRows(
-            df.withColumn("_hit", flag(rule)), keys, order, hot_rows=hot_rows, bound=bound
-        )
-        .nearby({name: streak}, back=length - 1)
-        .rows()
-        .drop("_hit")
+    rows = OrderedRows(
+        df.withColumn("_hit", flag(rule)),
+        keys,
+        order,
+        hot_rows=hot_rows,
+        sizes=sizes,
+        position=position,
     )
+    return rows.nearby({name: streak}, back=length - 1).rows().drop("_hit")
 
 
 def partial_payments(
@@ -463,10 +481,10 @@ def npa_by_vintage(
     loans: DataFrame, borrowers: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES
 ) -> DataFrame:
     """Per year of disbursal. The score is the borrower's stored one, not a score of that year."""
-    year = year_of("disbursal_date").alias("vintage_year")
+    year = F.year("disbursal_date").alias("_year")
     return (
         book_per_borrower(loans, borrowers, bad, [year])
-        .groupBy("vintage_year")
+        .groupBy("_year")
         .agg(
             F.sum("n").alias("loans_disbursed"),
             scaled(F.sum("amount_sum"), fv.CRORE).alias("disbursed_cr"),
@@ -476,6 +494,8 @@ def npa_by_vintage(
                 "avg_credit_score_at_origination"
             ),
         )
+        .select(F.lpad(F.col("_year").cast("string"), 4, "0").alias("vintage_year"), "*")
+        .drop("_year")
         .orderBy("vintage_year")
     )
 
@@ -527,8 +547,9 @@ def early_defaults(
 def cohort_npa_change(loans: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES) -> DataFrame:
     """Bad-loan rate per disbursal month and its change from the month before that has loans."""
     cohorts = (
-        loans.groupBy(month_of("disbursal_date").alias("cohort_month"))
+        loans.groupBy(month_start("disbursal_date").alias("_month"))
         .agg(F.count(F.lit(1)).alias("total_loans"), count_if(is_bad(bad)).alias("npa_loans"))
+        .select(month_of("_month").alias("cohort_month"), "total_loans", "npa_loans")
         .withColumn("npa_rate_pct", pct("npa_loans", "total_loans"))
     )
     # one row per month at this point
@@ -605,13 +626,14 @@ def rolling_collections(repayments: DataFrame, loans: DataFrame) -> DataFrame:
 
     The mean is over rows, so a month without payments is skipped; it works on the rounded sums.
     """
-    per_loan = repayments.groupBy(
-        "loan_id", month_of("payment_date").alias("payment_month_str")
-    ).agg(F.sum("amount_paid").alias("_paid"))
+    per_loan = repayments.groupBy("loan_id", month_start("payment_date").alias("_month")).agg(
+        F.sum("amount_paid").alias("_paid")
+    )
     monthly = (
         per_loan.join(loans.select("loan_id", "loan_purpose"), "loan_id")
-        .groupBy("loan_purpose", "payment_month_str")
+        .groupBy("loan_purpose", "_month")
         .agg(scaled(F.sum("_paid"), fv.LAKH).alias("monthly_collection"))
+        .select("loan_purpose", month_of("_month").alias("payment_month_str"), "monthly_collection")
     )
     # one row per product and month at this point
     three = Window.partitionBy("loan_purpose").orderBy("payment_month_str").rowsBetween(-2, 0)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordered import OrderedRows
-from ..operators.skew import HOT_ROWS, lookup_join
+from ..operators.skew import HOT_ROWS, GroupSizes, lookup_join, measure
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,17 +64,20 @@ def repayments(
     folder: str,
     *,
     numbered: bool = False,
+    sizes: GroupSizes | None = None,
     hot_rows: int = HOT_ROWS,
-    bound: int | None = None,
 ) -> DataFrame:
     """Payments per loan. ``numbered`` adds ``payment_month``, the payment's number in its loan.
 
-    ``bound`` is the size of the biggest loan if the caller has counted it.
+    ``sizes`` are those of ``payment_sizes`` if the caller has measured them.
     """
+    if sizes is None:
+        sizes = payment_sizes(spark, folder, hot_rows)
+    sizes = sizes.renamed({"loan_id": "l_orderkey"})
     lines = table(spark, folder, "lineitem").select("l_orderkey", *PAYMENT_ORDER, "l_discount")
     if numbered:
         ordered = OrderedRows(
-            lines, ["l_orderkey"], PAYMENT_ORDER, hot_rows=hot_rows, bound=bound
+            lines, ["l_orderkey"], PAYMENT_ORDER, hot_rows=hot_rows, sizes=sizes
         )
         lines = ordered.position("_number").rows()
     o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -94,12 +97,13 @@ def repayments(
     if numbered:
         columns.append(F.col("_number").cast("int").alias("payment_month"))
     on = {"l_orderkey": "o_orderkey"}
-    return lookup_join(lines, o, on, hot_rows=hot_rows, bound=bound).select(*columns)
+    return lookup_join(lines, o, on, sizes=sizes).select(*columns)
 
 
-def payment_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Loan of every payment, without the join: enough to size the loans."""
-    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("loan_id"))
+def payment_sizes(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) -> GroupSizes:
+    """Loans with very many payments, counted from the key column alone."""
+    keys = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("loan_id"))
+    return measure(keys, ["loan_id"], hot_rows)
 
 
 def event_prices(spark: SparkSession, folder: str) -> DataFrame:

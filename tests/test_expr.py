@@ -76,7 +76,7 @@ def test_scaled_and_maps(spark):
         e.order_rank(F.lit("other"), fv.STATUS_ORDER).alias("none"),
         e.clean_label(F.lit("ab_cd_ret")).alias("label"),
         e.month_of(F.lit("2020-03-04").cast("date")).alias("month"),
-        e.year_of(F.lit("2020-03-04").cast("date")).alias("year"),
+        e.month_start(F.lit("2020-03-04").cast("date")).cast("string").alias("first"),
     ).first()
     assert row.asDict() == {
         "cr": 1.23,
@@ -85,7 +85,7 @@ def test_scaled_and_maps(spark):
         "none": None,
         "label": "ab cd",
         "month": "2020-03",
-        "year": "2020",
+        "first": "2020-03-01",
     }
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordered import OrderedRows
-from riskloom.operators.skew import largest_group
+from riskloom.operators.skew import lookup_join, measure
 from riskloom.plans.loan_book import with_streak
 from riskloom.plans.panel import rolling_full
 
@@ -119,14 +119,53 @@ def test_depth_larger_than_block(spark):
 def test_bound_skips_the_check(spark):
     df = frame(spark, skewed(50))
     assert OrderedRows(df, ["k"], ["t"], hot_rows=10, bound=10).hot is None
-    assert largest_group(df, ["k"]) == skewed(50).k.fillna("?").value_counts().max()
 
 
 def test_empty_input(spark):
     df = frame(spark, skewed(20)).where("t < 0")
     for keys in (["k"], []):
         assert steps(OrderedRows(df, keys, ["t"], hot_rows=5)).rows().count() == 0
-    assert largest_group(df, ["k"]) == 0
+    assert measure(df, ["k"], 0).hot is None
+
+
+def test_sizes_are_handed_on(spark):
+    """One count serves several steps, also where the key has another name."""
+    df = frame(spark, skewed())
+    sizes = measure(df, ["k"], 40)
+    renamed = df.withColumnRenamed("k", "key")
+    split = OrderedRows(
+        renamed, ["key"], ["t"], hot_rows=40, sizes=sizes.renamed({"k": "key"})
+    ).position("rn")
+    assert split.hot is not None
+    numbered = split.rows()
+    plain = OrderedRows(renamed, ["key"], ["t"]).position("rn").rows()
+    assert numbered.exceptAll(plain).count() == 0
+    again = OrderedRows(
+        numbered.withColumnRenamed("key", "k"),
+        ["k"],
+        ["rn"],
+        hot_rows=40,
+        sizes=sizes,
+        position="rn",
+    )
+    got = again.running({"total": ("sum", F.col("t"))}).rows().drop("rn")
+    want = OrderedRows(df, ["k"], ["t"]).running({"total": ("sum", F.col("t"))}).rows()
+    assert got.exceptAll(want.select(got.columns)).count() == 0 and got.count() == 300
+
+
+@pytest.mark.parametrize("null_safe", [True, False])
+@pytest.mark.parametrize("keys_on_driver", [0, 1000])
+def test_lookup_join(spark, monkeypatch, null_safe, keys_on_driver):
+    monkeypatch.setattr("riskloom.operators.skew.DRIVER_KEYS", keys_on_driver)
+    df = frame(spark, skewed())
+    table = spark.createDataFrame(
+        [("hot", 1), ("a", 2), (None, 3), ("zzz", 4)], "name string, x int"
+    )
+    pairs = {"k": "name"}
+    plain = lookup_join(df, table, pairs, null_safe=null_safe)
+    split = lookup_join(df, table, pairs, null_safe=null_safe, hot_rows=20)
+    assert plain.exceptAll(split).count() == 0 and split.exceptAll(plain).count() == 0
+    assert plain.where("x = 3").isEmpty() != null_safe
 
 
 @settings(

@@ -72,8 +72,8 @@ def test_filter_reaches_the_scan(spark):
     from riskloom.plans.loan_book import cumulative_collections
     from riskloom.sources.shared_tables import repayments
 
-    rows = repayments(spark, SMALL, numbered=True, bound=10)
-    text = plan(cumulative_collections(rows, [1, 2, 3], bound=10))
+    rows = repayments(spark, SMALL, numbered=True)
+    text = plan(cumulative_collections(rows, [1, 2, 3]))
     assert re.search(r"PushedFilters: \[[^\]]*In\(l_orderkey, \[1,2,3\]\)", text)
 
 
