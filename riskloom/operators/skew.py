@@ -5,17 +5,26 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import (
+    DateType,
+    IntegralType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from .staging import stage
 
 HOT_ROWS = 2_000_000  # rows of one key that one task may handle
 BROADCAST_ROWS = 1_000_000  # rows of a narrow table that may be broadcast
-DRIVER_KEYS = 1_000  # hot keys kept as a local table; more of them are staged
+DRIVER_KEYS = 1_000  # hot keys known by value; more of them are staged
+LISTED_TUPLES = 50  # hot keys of several columns that are written out as a predicate
+PLAIN_KEYS = (IntegralType, StringType, DateType)
 GROUP = "_group"
 
 
@@ -36,21 +45,42 @@ def key_match(
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys with more than the allowed rows: at most all rows / allowed rows of them."""
+    """Keys with more than the allowed rows: at most all rows / allowed rows of them.
+
+    A few keys are known by value; they become plain predicates, which Catalyst pushes through
+    windows, unions and joins into the scans. More of them are joined.
+    """
 
     table: DataFrame  # _key_<name> columns and _group, a number per key
     names: dict[str, str]
     count: int
     rows: int
+    values: tuple | None = None  # key tuples, if few
 
     def cold(self, df: DataFrame) -> DataFrame:
+        if self.values is not None:
+            return df.where(~self.is_hot())
         return df.join(self.small(), key_match(df, self.table, self.names), "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys with their ``_group``."""
-        joined = df.join(self.small(), key_match(df, self.table, self.names), "inner")
+        rows = df if self.values is None else df.where(self.is_hot())
+        joined = rows.join(self.small(), key_match(rows, self.table, self.names), "inner")
         return joined.drop(*self.names.values())
 
+    def is_hot(self) -> Column:
+        """True for a listed key, else false, never NULL."""
+        if len(self.names) > 1:
+            each = [
+                reduce(and_, [F.col(k).eqNullSafe(F.lit(v)) for k, v in zip(self.names, key, strict=True)])
+                for key in self.values
+            ]
+            return reduce(or_, each)
+        (column,) = (F.col(k) for k in self.names)
+        known = [key[0] for key in self.values if key[0] is not None]
+        listed = column.isNotNull() & column.isin(known)
+        return listed if len(known) == len(self.values) else column.isNull() | column.isin(known)
+
     def small(self) -> DataFrame:
         return small_enough(self.table, self.count)
 
@@ -80,17 +110,22 @@ def measure(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Gro
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > hot_rows)
     )
-    few = sizes.limit(DRIVER_KEYS + 1).collect()
+    # the largest first: a bounded top-k that runs over all partitions at once
+    few = sizes.orderBy(F.col("_rows").desc()).limit(DRIVER_KEYS + 1).collect()
     if not few:
         return GroupSizes()
+    values = None
     if len(few) <= DRIVER_KEYS:
         schema = StructType([*sizes.schema.fields, StructField(GROUP, LongType())])
         table = df.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(few)], schema)
         count, rows = len(few), sum(r["_rows"] for r in few)
+        plain = all(isinstance(sizes.schema[n].dataType, PLAIN_KEYS) for n in names.values())
+        if plain and (len(names) == 1 or count <= LISTED_TUPLES):
+            values = tuple(tuple(r)[:-1] for r in few)
     else:
         table = stage(sizes.withColumn(GROUP, F.monotonically_increasing_id()), "hot-keys")
         count, rows = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    return GroupSizes(HotKeys(table.drop("_rows"), names, count, rows))
+    return GroupSizes(HotKeys(table.drop("_rows"), names, count, rows, values))
 
 
 def sizes_of(
@@ -127,11 +162,11 @@ def lookup_join(
     hot = sizes_of(df, list(pairs), hot_rows, bound, sizes).hot
     if hot is None:
         return df.join(table, key_match(df, table, pairs, null_safe=null_safe))
-    same = {pairs[k]: n for k, n in hot.names.items()}
-    theirs = table.join(hot.small(), key_match(table, hot.table, same), "left_semi")
-    few = stage(theirs, "hot-side")
-    spread = df.join(
-        small_enough(few, few.count()), key_match(df, few, pairs, null_safe=null_safe)
+    theirs = replace(hot, names={pairs[k]: n for k, n in hot.names.items()})
+    few = theirs.hot(table).drop(GROUP)
+    mine = hot.hot(df).drop(GROUP)
+    spread = mine.join(
+        small_enough(few, few.count()), key_match(mine, few, pairs, null_safe=null_safe)
     )
     rest = hot.cold(df)
     return spread.unionByName(rest.join(table, key_match(rest, table, pairs, null_safe=null_safe)))

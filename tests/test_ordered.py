@@ -66,8 +66,7 @@ def table(df):
     return out[sorted(out.columns)]
 
 
-@pytest.mark.parametrize("hot_rows", [1, 7, 40, 100])
-@pytest.mark.parametrize("order", [["t"], ["-t"]])
+@pytest.mark.parametrize("hot_rows,order", [(1, ["t"]), (7, ["-t"]), (40, ["t"]), (100, ["-t"])])
 def test_split_equals_plain(spark, hot_rows, order):
     df = frame(spark, skewed())
     plain = OrderedRows(df, ["k"], order)
@@ -169,7 +168,7 @@ def test_lookup_join(spark, monkeypatch, null_safe, keys_on_driver):
 
 
 @settings(
-    max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+    max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
 @given(
     flags=st.lists(st.booleans(), min_size=1, max_size=40),
