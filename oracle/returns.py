@@ -221,11 +221,13 @@ BOTH = {
 BACKTESTS = {
     "bt_positions": with_tables(
         {**FORECASTS, **FULL},
-        f"SELECT {KEYS}, {rounded(['pos', 'turnover', 'cost', 'strat'])} FROM s",
+        f"""SELECT {KEYS}, {rounded(['pos', 'turnover', 'cost', 'strat'])},
+            CAST(SIGN(pred) AS INTEGER) AS side FROM s""",
     ),
     "bt_positions_expanding": with_tables(
         {**FORECASTS, **EXPANDING},
-        f"SELECT {KEYS}, {rounded(['pos', 'turnover', 'cost', 'strat'])} FROM s",
+        f"""SELECT {KEYS}, {rounded(['pos', 'turnover', 'cost', 'strat'])},
+            CAST(SIGN(pred) AS INTEGER) AS side FROM s""",
     ),
     "bt_curves": with_tables(
         CURVES,

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from .ordered import MAX_PARTS, OrderedRows, plain_name, sort_columns
+from .ordered import OrderedRows, plain_name, sort_columns
 from .skew import HOT_ROWS, lookup_join
 from .staging import stage
 
@@ -118,16 +118,15 @@ def rows_at(df: DataFrame, order: Sequence[str], positions) -> list[Row]:
     """Sort keys of the rows at some 1-based positions of the whole table's order.
 
     ``positions`` is a function of the row count. Only the key columns move: they are
-    range-partitioned and staged once, the part sizes (at most MAX_PARTS numbers) give the place
-    of each position, and the staged files are read again for these few rows alone.
+    range-partitioned and staged once, the part sizes (one number per shuffle partition) give the
+    place of each position, and the staged files are read again for these few rows alone.
     """
     names = [plain_name(c) for c in order]
-    spark = df.sparkSession
     by = sort_columns(order)
-    parts = min(MAX_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # as many parts as the session's shuffles have; adaptive execution merges small neighbours
     keys = stage(
         df.select(*names)
-        .repartitionByRange(parts, *by)
+        .repartitionByRange(*by)
         .sortWithinPartitions(*by)
         .withColumn("_serial", F.monotonically_increasing_id()),
         "sort-keys",

@@ -56,8 +56,8 @@ def positions(
     """Conviction-weighted position, its cost of turnover, and the net return.
 
     The position is the forecast over the largest absolute forecast, of the whole test window
-    (``sizing="full"``, which looks ahead) or up to the row (``"expanding"``). Its sign is the
-    direction and its size at most 1. The first trade is free.
+    (``sizing="full"``, which looks ahead) or up to the row (``"expanding"``). ``side`` is its
+    sign, 1 long and -1 short, and its size is at most 1. The first trade is free.
     """
     series = OrderedRows(predictions, SERIES, ["date"], bound=bound, hot_rows=hot_rows)
     size = F.abs(F.col("pred"))
@@ -70,6 +70,7 @@ def positions(
     pos = F.col("pos")
     return (
         series.with_columns({"pos": F.col("pred") / (F.col("_largest") + F.lit(fv.TINY))})
+        .with_columns({"side": F.signum(pos).cast("int")})
         .nearby({"turnover": lambda w: F.abs(pos - F.coalesce(F.lag("pos").over(w), pos))}, back=1)
         .with_columns({"cost": F.col("turnover") * F.lit(cost)})
         .with_columns({"strat": pos * F.col("actual") - F.col("cost")})
@@ -134,6 +135,7 @@ def backtest(
             "pred",
             "actual",
             "pos",
+            "side",
             "turnover",
             "cost",
             "strat",

@@ -446,7 +446,7 @@ def _positions(sizing):
     def run(spark, folder):
         predictions, bound = rule_predictions(spark, folder)
         done = bt.positions(predictions, sizing=sizing, bound=bound).rows()
-        return tidy(done.select(*bt.SERIES, "date", "pos", "turnover", "cost", "strat"))
+        return tidy(done.select(*bt.SERIES, "date", "pos", "side", "turnover", "cost", "strat"))
 
     return run
 
