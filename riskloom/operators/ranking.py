@@ -59,7 +59,8 @@ def value_ranks(
     n = F.count(F.lit(1)) if weight is None else F.sum(weight)
     counted = stage(df.groupBy(*keys, value).agg(n.cast("long").alias("rows_here")), "values")
     return (
-        OrderedRows(counted, keys, [order], hot_rows=hot_rows)
+        # the staged row count bounds every group; only beyond it are groups measured
+        OrderedRows(counted, keys, [order], hot_rows=hot_rows, bound=counted.count())
         .running({"_upto": ("sum", F.col("rows_here"))})
         .position("dense_rank")
         .whole({"rows_in_group": F.sum("rows_here")})
