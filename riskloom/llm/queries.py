@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import line_dedup, mixing
+from riskloom.llm import line_dedup, mixing, quality_rules
 from riskloom.llm.tables import table
 
 
@@ -12,12 +12,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op9_mixing": op9_mixing,
 }
 

@@ -30,3 +30,20 @@ def bounded_sample(df: DataFrame, key: str, per_class: str, rows_per_class: int)
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, folds: int = 5
+) -> DataFrame:
+    """``doc_id, text, label`` of a bounded sample of labelled rows outside the held-out fold.
+
+    The held-out fold is remainder 0. An id with several labels or texts gives several rows; an id
+    without a text gives none. The sample (``rows_per_class`` rows of each class at most) is
+    broadcast, so the documents are read once and not moved.
+    """
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(
+        F.col("label").isNotNull() & F.col("doc_id").isNotNull()
+    )
+    known = known.where(remainder(F.col("doc_id"), folds) != 0)
+    chosen = bounded_sample(known, "doc_id", "label", rows_per_class).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

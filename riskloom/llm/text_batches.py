@@ -13,12 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 21  # of text that is worked on at once; a longer text is a slice of its own
+SLICE_ROWS = 2048
 PIECE_BYTES = 1 << 20  # of text that is hashed at once, cut at white space
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+LETTERS = np.zeros(256, bool)
+LETTERS[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(128, 256)]] = True
 LEADS = (np.arange(256) & 0xC0) != 0x80  # bytes that begin a code point
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -88,11 +91,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Runs of rows with at most ``SLICE_BYTES`` of text (one row at least)."""
+    """Runs of at most ``SLICE_ROWS`` rows with ``SLICE_BYTES`` of text (one row at least)."""
     _, at = text_bytes(batch.column(text))
     row = 0
     while row < batch.num_rows:
         to = max(row + 1, int(np.searchsorted(at, at[row] + SLICE_BYTES, "right")) - 1)
+        to = min(to, row + SLICE_ROWS)
         yield batch.slice(row, to - row)
         row = to
 
@@ -112,9 +116,11 @@ def map_texts(df: DataFrame, work: Callable, schema: str, text: str = "text") ->
     return df.mapInArrow(run, schema)
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every run of non-space bytes."""
-    solid = ~SPACE[data]
+def word_spans(
+    data: np.ndarray, at: np.ndarray, parts: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every run of non-space bytes (or of bytes that ``parts`` marks)."""
+    solid = ~SPACE[data] if parts is None else parts[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
