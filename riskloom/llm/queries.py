@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import line_dedup, mixing, quality_knn, quality_rules, toxicity
+from riskloom.llm import line_dedup, minhash, mixing, quality_knn, quality_rules, toxicity
 from riskloom.llm.tables import table
 
 
@@ -26,6 +26,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -35,9 +39,11 @@ QUERIES = {
     "op2_quality_knn": op2_quality_knn,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_minhash": op5_minhash,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
+    "op5_minhash": minhash.ORACLE_SQL,
 }
