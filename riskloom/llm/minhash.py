@@ -9,10 +9,10 @@ a probability equal to their likeness. A process stops as soon as its time excee
 
 1. Copies (equal word sequences, 128-bit key) are collapsed to the smallest id.
 2. Signatures are cut into ``BANDS`` bands; texts that share a band value form a bucket.
-3. In each bucket every member is compared with one leader, the member of the most crowded buckets;
-   then, twice, what is still apart: first with a second leader, then all pairs that are in
-   different components, so no candidate link is lost, yet a group that belongs together costs one
-   comparison for each member. Signatures rule out pairs far below the threshold; the rest is
+3. In each bucket every member is compared with one leader, the member of the most crowded buckets.
+   Buckets whose members are then still in several components are searched whole, so no candidate
+   link is lost: up to ``FEW`` members pair by pair, more in blocks within a task, which returns only
+   links that join components. Signatures rule out pairs far below the threshold; the rest is
    verified on the whole texts.
 4. Links are joined into components.
 
@@ -50,6 +50,7 @@ from riskloom.operators.staging import stage
 BANDS, BAND_ROWS = 32, 5
 SIZE = BANDS * BAND_ROWS
 THRESHOLD = 0.8
+FEW, CHUNK = 8, 256  # members of a bucket that are paired one by one; members of a side of a block
 CLEARLY_LESS = 0.67  # share of equal signature places: four standard errors below the threshold
 
 
@@ -157,39 +158,37 @@ def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
 
 
-def _shared_weight(part: pa.RecordBatch, hasher: SpanHasher) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of smaller and of larger counts of the pairs' bags; a text of several pairs is cut once."""
-    bags, size, own = [], [], []
-    for side in ("a", "b"):
-        _, one, mine = np.unique(
-            np.asarray(part.column(side)), return_index=True, return_inverse=True
-        )
-        row, window, count, *_ = _bags(part.column("t" + side).take(pa.array(one)), hasher)
+def shared_weight(
+    own_a: np.ndarray, own_b: np.ndarray, texts_a: pa.Array, texts_b: pa.Array, hasher: SpanHasher
+) -> np.ndarray:
+    """Likeness of pairs of texts given by their numbers; every text is cut into words once."""
+    bags, size = [], []
+    for texts in (texts_a, texts_b):
+        row, window, count, *_ = _bags(texts, hasher)
         bags.append((window, count))
-        size.append(np.bincount(row, minlength=len(one)))
-        own.append(mine)
+        size.append(np.bincount(row, minlength=len(texts)))
     first = [np.cumsum(x) - x for x in size]
     names, code = np.unique(np.concatenate((bags[0][0], bags[1][0])), return_inverse=True)
     code_a, code_b = code[: len(bags[0][0])], code[len(bags[0][0]) :]
     count_a, count_b = bags[0][1], bags[1][1]
-    in_a, in_b = (
-        np.concatenate(([0], np.cumsum(c)))[np.array([f, f + n])]
-        for c, f, n in zip((count_a, count_b), first, size)
-    )
-    total = (in_a[1] - in_a[0])[own[0]] + (in_b[1] - in_b[0])[own[1]]
-    both, table = np.zeros(part.num_rows), np.zeros(len(names), np.int64)
-    order = np.argsort(own[1], kind="stable")
-    cuts = np.flatnonzero(np.diff(own[1][order], prepend=-1))
+    weight = [
+        np.diff(np.concatenate(([0], np.cumsum(c)))[np.append(f, len(c))])
+        for c, f in zip((count_a, count_b), first)
+    ]
+    total = weight[0][own_a] + weight[1][own_b]
+    both, table = np.zeros(len(own_a)), np.zeros(len(names), np.int64)
+    order = np.argsort(own_b, kind="stable")
+    cuts = np.flatnonzero(np.diff(own_b[order], prepend=-1))
     for low, high in zip(cuts, np.append(cuts[1:], len(order))):
-        rows, b = order[low:high], own[1][order[low]]
+        rows, b = order[low:high], own_b[order[low]]
         at = slice(first[1][b], first[1][b] + size[1][b])
         table[code_b[at]] = count_b[at]
-        n = size[0][own[0][rows]]
-        flat = _ragged(first[0][own[0][rows]], n)
+        n = size[0][own_a[rows]]
+        flat = _ragged(first[0][own_a[rows]], n)
         least = np.minimum(table[code_a[flat]], count_a[flat])
         both[rows] = np.bincount(np.repeat(np.arange(len(rows)), n), least, len(rows))
         table[code_b[at]] = 0
-    return both, total - both
+    return both / np.maximum(total - both, 1)
 
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,16 +201,69 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             to = max(low + 1, int(np.searchsorted(ends, ends[low] + SLICE_BYTES, "right")) - 1)
             part = batch.slice(low, to - low)
             low = to
-            both, most = _shared_weight(part, hasher)
-            likeness = both / np.maximum(most, 1)
-            keep = pa.array(likeness >= THRESHOLD - 1e-12)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "a": part.column("a").filter(keep),
-                    "b": part.column("b").filter(keep),
-                    "likeness": pa.array(likeness).filter(keep),
-                }
-            )
+            own, texts = [], []
+            for side in ("a", "b"):
+                ids = np.asarray(part.column(side))
+                _, one, mine = np.unique(ids, return_index=True, return_inverse=True)
+                own.append(mine)
+                texts.append(part.column("t" + side).take(pa.array(one)))
+            likeness = shared_weight(*own, *texts, hasher)
+            yield part.select(["a", "b"]).filter(pa.array(likeness >= THRESHOLD - 1e-12))
+
+
+def _tile(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links between members of one bucket (two chunks of it) that are in different components.
+
+    A pair is judged in the first band that it shares; links that close a ring are left out.
+    """
+    rows = rows.combine_chunks()
+    x, y = (rows.filter(pa.array(np.asarray(rows.column(c)))) for c in ("in_x", "in_y"))
+    band, same = key[0].as_py(), key[1].as_py() == key[2].as_py()
+
+    def matrix(part, name, kind, width):
+        column = part.column(name).combine_chunks()
+        if kind is np.uint8:
+            return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+        return np.asarray(column.flatten()).reshape(-1, width)
+
+    rep_x, rep_y = np.asarray(x.column("rep")), np.asarray(y.column("rep"))
+    group_x, group_y = np.asarray(x.column("component")), np.asarray(y.column("component"))
+    n_x, n_y = np.asarray(x.column("n")), np.asarray(y.column("n"))
+    bands_x, bands_y = (matrix(p, "bands", np.int64, BANDS) for p in (x, y))
+    sketch_x, sketch_y = (matrix(p, "sketch", np.uint8, SIZE) for p in (x, y))
+    left, right = [], []
+    for i in range(len(rep_x)):
+        may = np.minimum(n_y, n_x[i]) >= THRESHOLD * np.maximum(n_y, n_x[i]) - 1e-9
+        may &= group_y != group_x[i]
+        if same:
+            may &= rep_y > rep_x[i]
+        some = np.flatnonzero(may)
+        some = some[(sketch_y[some] == sketch_x[i]).mean(1) >= CLEARLY_LESS]
+        if len(some):
+            first = (bands_y[some] == bands_x[i]).argmax(1)
+            some = some[bands_x[i][first] == band]
+        left.append(np.full(len(some), i))
+        right.append(some)
+    left = np.concatenate(left) if left else np.zeros(0, int)
+    right = np.concatenate(right) if right else np.zeros(0, int)
+    out_a, out_b = [], []
+    if len(left):
+        texts = (x.column("text").combine_chunks(), y.column("text").combine_chunks())
+        linked = shared_weight(left, right, *texts, SpanHasher(51)) >= THRESHOLD - 1e-12
+        root: dict[int, int] = {}
+
+        def top(g: int) -> int:
+            while root.get(g, g) != g:
+                g = root[g]
+            return g
+
+        for i, j in zip(left[linked], right[linked]):
+            p, q = top(int(group_x[i])), top(int(group_y[j]))
+            if p != q:
+                root[max(p, q)] = min(p, q)
+                out_a.append(min(int(rep_x[i]), int(rep_y[j])))
+                out_b.append(max(int(rep_x[i]), int(rep_y[j])))
+    return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
 def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -223,7 +275,7 @@ def _verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     close = stage(close.mapInArrow(_agree, "a long, b long"), "near-pairs")
     texts = [known.select(F.col("rep").alias(s), F.col("text").alias("t" + s)) for s in ("a", "b")]
     both = close.join(texts[0], "a").join(texts[1], "b").select("a", "b", "ta", "tb")
-    return stage(both.mapInArrow(_overlap, "a long, b long, likeness double"), "near-links")
+    return stage(both.mapInArrow(_overlap, "a long, b long"), "near-links")
 
 
 def _may(x: str, y: str):
@@ -232,7 +284,7 @@ def _may(x: str, y: str):
 
 
 def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Verified links ``a, b, likeness`` between copies' representatives that join every class.
+    """Verified links ``a, b`` between copies' representatives that join every class.
 
     ``docs`` has doc_id and text, ``found`` is the staged :func:`sketches`.
     """
@@ -253,7 +305,7 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
     ids = weight.select("rep")
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
     texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
-    known = stage(reps.select("rep", "sketch").join(texts, "rep"), "near-texts")
+    known = stage(reps.select("rep", "bands", "sketch").join(texts, "rep"), "near-texts")
 
     def stars(members: DataFrame) -> DataFrame:
         """Pairs of each bucket's leader with its other members."""
@@ -267,37 +319,54 @@ def links(docs: DataFrame, found: DataFrame) -> DataFrame:
             .select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b"))
         )
 
-    def apart(links: DataFrame) -> DataFrame:
-        """Rows of buckets whose members are in several components, with the component."""
-        group = components(links.select("a", "b")).select(
-            F.col("node").alias("rep"), F.col("component")
-        )
-        placed = buckets.join(group, "rep", "left").withColumn(
-            "component", F.coalesce("component", "rep")
-        )
-        open_ = placed.groupBy("band").agg(F.min("component").alias("p"), F.max("component").alias("q"))
-        return stage(
-            placed.join(open_.where("p < q").select("band"), "band"), "near-apart"
-        )
-
     done = _verified(stars(buckets), known)
-    left = apart(done)
-    leader = left.groupBy("band").agg(F.max(F.struct("weight", (-F.col("rep")).alias("back"), "component")).alias("x"))
-    others = left.join(leader.select("band", F.col("x.component").alias("lead")), "band").where(
-        "component <> lead"
+    group = components(done).select(F.col("node").alias("rep"), "component")
+    placed = buckets.join(group, "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep")
+    )
+    apart = (
+        placed.groupBy("band")
+        .agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("m"))
+        .where("p < q")
+    )
+    left = stage(placed.join(apart.select("band", "m"), "band"), "near-apart")
+    few = left.where(F.col("m") <= FEW)
+    x, y = (
+        few.select("band", *(F.col(c).alias(f"{s}_{c}") for c in ("rep", "n", "component")))
+        for s in ("x", "y")
     )
-    done = done.unionByName(_verified(stars(others), known))
-    left = apart(done)
-    x = left.select("band", *(F.col(c).alias("x_" + c) for c in ("rep", "n", "component")))
-    y = left.select("band", *(F.col(c).alias("y_" + c) for c in ("rep", "n", "component")))
     rest = x.join(y, "band").where(
         (F.col("x_rep") < F.col("y_rep"))
         & (F.col("x_component") != F.col("y_component"))
         & _may("x_n", "y_n")
     )
     rest = rest.select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
-    rest = rest.distinct().join(done.select("a", "b"), ["a", "b"], "left_anti")
-    return done.unionByName(_verified(rest, known))
+    rest = rest.join(done, ["a", "b"], "left_anti")
+    tiles = _tiles(left.where(F.col("m") > FEW), known)
+    return done.unionByName(_verified(rest, known)).unionByName(stage(tiles, "near-tiles"))
+
+
+def _tiles(members: DataFrame, known: DataFrame) -> DataFrame:
+    """Links inside crowded buckets, found in blocks of ``CHUNK`` by ``CHUNK`` members."""
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = members.withColumns(
+        {"chunks": chunks, "chunk": F.pmod(F.xxhash64("rep", "band"), chunks).cast("int")}
+    )
+    # a member of chunk c is a row of every tile (c, j), j >= c, and (i, c), i <= c
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = dealt.select("band", "rep", "n", "component", "chunk", other)
+    tile = dealt.select(
+        "band",
+        F.least("chunk", "other").alias("i"),
+        F.greatest("chunk", "other").alias("j"),
+        "rep",
+        "n",
+        "component",
+        (F.col("chunk") <= F.col("other")).alias("in_x"),
+        (F.col("chunk") >= F.col("other")).alias("in_y"),
+    )
+    full = tile.join(known.select("rep", "bands", "sketch", "text"), "rep")
+    return full.groupBy("band", "i", "j").applyInArrow(_tile, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -307,7 +376,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = stage(sketches(docs), "near-sketches")
-    joined = components(links(docs, found).select("a", "b"))
+    joined = components(links(docs, found))
     reps = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     of_rep = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
         "k1", "k2", F.coalesce("component", "rep").alias("class_id")
