@@ -51,16 +51,16 @@ class ChainCRF:
         seen_start = truth[first[:-1]].sum(0)
         state = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.weights, self.moves, self.start)]
         scale = 1.0 / len(labels)
+        used, flat = np.unique(features, return_inverse=True)  # sums over used features only
+        flat = flat.ravel()
         for step in range(1, rounds + 1):
             e = self.emissions(features)
             posterior, moves, start = _expected(e, self.moves, self.start, place, valid)
             slope = posterior - truth
-            g_w = np.empty_like(self.weights)
+            g_w = np.zeros_like(self.weights)
             slots = features.shape[1]
             for k in range(n_labels):
-                g_w[:, k] = np.bincount(
-                    features.ravel(), np.repeat(slope[:, k], slots), len(self.weights)
-                )
+                g_w[used, k] = np.bincount(flat, np.repeat(slope[:, k], slots), len(used))
             g_w[-1] = 0
             grads = (
                 g_w * scale + decay * scale * self.weights,

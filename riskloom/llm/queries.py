@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import line_dedup, minhash, mixing, quality_knn, quality_rules, toxicity
+from riskloom.llm import language, line_dedup, minhash, mixing, quality_knn, quality_rules, toxicity
 from riskloom.llm.tables import table
 
 
@@ -34,6 +34,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_knn": op2_quality_knn,
@@ -41,6 +45,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash": op5_minhash,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE = {
