@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm import language, line_dedup, minhash, mixing, quality_knn, quality_rules, toxicity
+from riskloom.llm import (
+    embedding,
+    language,
+    licences,
+    line_dedup,
+    minhash,
+    mixing,
+    pieces,
+    quality_knn,
+    quality_rules,
+    toxicity,
+)
 from riskloom.llm.tables import table
 
 
@@ -30,6 +41,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_files(licences.document_paths(table(spark, sf_dir, "documents")))
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.vocabulary_for(spark))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents"))
 
@@ -44,6 +67,9 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash": op5_minhash,
+    "op6_licences": op6_licences,
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
 }
@@ -51,4 +77,5 @@ QUERIES = {
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_minhash": minhash.ORACLE_SQL,
+    "op7_embedding_dedup": embedding.ORACLE_SQL,
 }
