@@ -32,6 +32,7 @@ from riskloom.llm.text_batches import (
     SpanHasher,
     counts_in,
     map_texts,
+    slices,
     span_hashes,
     text_bytes,
     word_spans,
@@ -186,17 +187,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text") -> DataFrame:
     """The rows that the classifier does not reject, all columns as they were."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches):
         for batch in batches:
-            if batch.num_rows:
+            for part in slices(batch, text):
                 found = [
-                    shared.value.score(text_counts(*text_bytes(block.column("text"))))
-                    for block in _blocks(batch)
+                    shared.value.score(text_counts(*text_bytes(block.column(text))))
+                    for block in _blocks(part)
                 ]
-                yield batch.filter(pa.array(np.concatenate(found) >= KEEP_FROM))
+                yield part.filter(pa.array(np.concatenate(found) >= KEEP_FROM))
 
     return docs.mapInArrow(run, docs.schema)
