@@ -2,8 +2,9 @@
 
 Terms are lower-cased runs of letters, digits and dots. Document frequencies of the templates' terms
 are counted over all texts (terms outside the templates weigh as much as the rarest one). Each line
-is compared with each template; a file whose whole text is like a template, or whose first line
-is, declares that licence for its directory. A file without a licence line of its own inherits
+is compared with each template; a file that is named as a licence file, or whose whole text is like
+a template, declares that licence for its directory (on demand also one whose first line is). A file
+without a licence line of its own inherits
 from the nearest ancestor directory with a declaration: directories (not files) are joined with
 declarations along their ancestors, and files then with their directory.
 
@@ -114,7 +115,7 @@ def _frequencies(templates: Templates):
     return work
 
 
-def _scan(templates: Templates):
+def _scan(templates: Templates, opening_declares: bool):
     def work(part: pa.RecordBatch) -> dict:
         column = part.column("text")
         h, row, start, data, at = _terms(column)
@@ -158,13 +159,15 @@ def _scan(templates: Templates):
             "path": part.column("path"),
             "header": call(name),
             "score": best,
-            "declared": call(np.where(whole >= 0, whole, opening)),
+            "declared": call(np.where((whole < 0) & opening_declares, opening, whole)),
         }
 
     return work
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+def scan(
+    files: DataFrame, templates: dict[str, str] = TEMPLATES, opening_declares: bool = False
+) -> DataFrame:
     """``doc_id, path, header, score, declared`` of files with doc_id, path and text."""
     model = Templates(templates)
     counted = map_texts(files.select("text"), _frequencies(model), "term long, n long")
@@ -174,7 +177,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
         df[r.term] = r.n
     model.weigh(df, files.count())
     schema = "doc_id long, path string, header string, score double, declared string"
-    return map_texts(files.select("doc_id", "path", "text"), _scan(model), schema)
+    return map_texts(files.select("doc_id", "path", "text"), _scan(model, opening_declares), schema)
 
 
 def _directory(path: Column) -> Column:
@@ -216,8 +219,11 @@ def inherit(scanned: DataFrame) -> DataFrame:
     )
 
 
-def scan_files(files: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    return inherit(stage(scan(files, templates), "licence-scan"))
+def scan_files(
+    files: DataFrame, templates: dict[str, str] = TEMPLATES, opening_declares: bool = False
+) -> DataFrame:
+    """Licence of every file; ``opening_declares`` lets a file's first line speak for its directory."""
+    return inherit(stage(scan(files, templates, opening_declares), "licence-scan"))
 
 
 def document_paths(docs: DataFrame) -> DataFrame:

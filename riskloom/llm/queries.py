@@ -42,7 +42,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan_files(licences.document_paths(table(spark, sf_dir, "documents")))
+    files = licences.document_paths(table(spark, sf_dir, "documents"))
+    return licences.scan_files(files, opening_declares=True)  # documents have no licence files
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
