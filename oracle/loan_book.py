@@ -97,11 +97,10 @@ SELECT CASE WHEN credit_score >= 750 THEN '750+ (Excellent)'
        {BAD_PCT} AS npa_rate_pct, {rnd('AVG(loan_amount)', 0)} AS avg_loan_amount
 FROM lb GROUP BY credit_band"""),
     "q07_segment_report": q(f"""
-SELECT ['P1 - Prime', 'P2 - Near-Prime', 'P3 - Sub-Prime', 'P4 - Deep Sub-Prime'][
-         list_position([credit_score >= 720 AND annual_income >= 8e5,
-                        credit_score >= 650 AND annual_income >= 4e5,
-                        credit_score >= 550 AND annual_income >= 2e5, TRUE], TRUE)]
-         AS risk_segment,
+SELECT CASE WHEN credit_score >= 720 AND annual_income >= 8e5 THEN 'P1 - Prime'
+            WHEN credit_score >= 650 AND annual_income >= 4e5 THEN 'P2 - Near-Prime'
+            WHEN credit_score >= 550 AND annual_income >= 2e5 THEN 'P3 - Sub-Prime'
+            ELSE 'P4 - Deep Sub-Prime' END AS risk_segment,
        COUNT(*) AS borrowers, {rnd('AVG(credit_score)', 0)} AS avg_credit_score,
        {rnd('AVG(annual_income)', 0)} AS avg_income, {BAD_PCT} AS npa_rate_pct,
        {rnd('SUM(outstanding_balance) / 1e7', 2)} AS outstanding_cr
@@ -281,6 +280,6 @@ SELECT loan_id, name, credit_score, loan_purpose, {rnd('outstanding_balance', 8)
             WHEN credit_score < 550 AND existing_loans_count > 1
               THEN 'HIGH RISK - Watch Immediately'
             ELSE 'MODERATE RISK - Monitor Closely' END AS watch_flag
-FROM lb WHERE credit_score < 650 AND loan_status SIMILAR TO '[36]0 DPD'
+FROM lb WHERE credit_score < 650 AND loan_status IN ('30 DPD', '60 DPD')
 ORDER BY watch_flag, credit_score, loan_id LIMIT 30"""),
 }

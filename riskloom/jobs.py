@@ -63,7 +63,7 @@ def signal_study(
     lags: Sequence[int] = (0,),
     horizon: int = 1,
     models: Sequence[str] = ml.MODEL_ORDER,
-    sizing: str = "full",
+    sizing: str = "expanding",
     **fit_options,
 ) -> tuple[dict[str, DataFrame], ml.Fit]:
     """Prices to features, four models, backtest and every report table."""
@@ -80,7 +80,7 @@ def signal_study(
     predictions = stage(fit.predictions, "predictions")
     curves = stage(bt.backtest(predictions, sizing=sizing, bound=bound), "curves")
     summary = bt.model_summary(predictions, curves)
-    linear = models[0]
+    linear = ml.ELASTIC_NET if ml.ELASTIC_NET in models else models[0]
     coefs = ml.coefficients(fit, prices.sparkSession, linear)
     return {
         "metrics": bt.forecast_metrics(predictions),

@@ -79,7 +79,7 @@ def _npa_pct() -> Column:
 def portfolio_summary(loans: DataFrame, borrowers: DataFrame) -> DataFrame:
     """One row for the whole book. Averages weigh every loan once."""
     return book_per_borrower(loans, borrowers).agg(
-        F.sum("n").alias("total_loans"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_loans"),
         F.count_distinct("customer_id").alias("unique_borrowers"),
         scaled(F.sum("amount_sum"), fv.CRORE).alias("total_disbursed_cr"),
         scaled(F.sum("balance_sum"), fv.CRORE).alias("total_outstanding_cr"),

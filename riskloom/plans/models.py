@@ -125,6 +125,8 @@ def fit_models(
     ``rows`` are standardised feature rows of one target; stage them first, every model reads
     them. Trees bin features: raise ``max_bins`` towards the row count for finer splits.
     """
+    if "target" in rows.columns and rows.select("target").distinct().limit(2).count() > 1:
+        raise ValueError("rows of several targets: fit each target by itself")
     _checkpoints(rows.sparkSession)
     features = list(features)
     assembler = VectorAssembler(inputCols=features, outputCol="features")

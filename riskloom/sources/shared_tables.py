@@ -108,7 +108,11 @@ def payment_sizes(spark: SparkSession, folder: str, hot_rows: int = HOT_ROWS) ->
 
 def event_prices(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly activity per event type; ``date`` is the hour."""
-    hour = F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")
+    # date_trunc would pass through the session's zone and shift hours at its clock changes
+    hour = F.expr(
+        "CAST(ts AS timestamp_ntz)"
+        " - make_dt_interval(0, 0, extract(MINUTE FROM ts), extract(SECOND FROM ts))"
+    )
     return (
         table(spark, folder, "events")
         .groupBy(hour.alias("date"), F.col("event_type").alias("symbol"))

@@ -151,12 +151,18 @@ def test_split_and_scaling(spark):
 
 
 def brute(pred, actual, cost=0.0005):
-    pos = np.array(pred) / (np.abs(pred).max() + 1e-9)
-    turn = np.abs(np.diff(np.concatenate([[pos[0]], pos])))
-    strat = pos * np.array(actual) - cost * turn
-    wealth = np.cumprod(1 + strat)
-    peak = np.maximum.accumulate(wealth)
-    return pos, strat, wealth, (wealth - peak) / peak
+    """Week by week: the position held, what it earns less the cost of changing it, the fall from the peak."""
+    largest, held = max(abs(p) for p in pred), None
+    money, peak, weeks = 1.0, 0.0, []
+    for forecast, outcome in zip(pred, actual):
+        position = forecast / (largest + 1e-9)
+        traded = 0.0 if held is None else abs(position - held)
+        gain = position * outcome - cost * traded
+        money *= 1 + gain
+        peak = max(peak, money)
+        weeks.append((position, gain, money, money / peak - 1))
+        held = position
+    return tuple(np.array(x) for x in zip(*weeks))
 
 
 def test_small_case_by_hand(spark):

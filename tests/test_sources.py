@@ -94,3 +94,17 @@ def test_staging_root_follows_the_session(spark):
     assert staged.count() == 4 and staged.inputFiles()[0].split("://")[-1].startswith(
         "/" + root.split("://")[-1].strip("/")
     )
+
+
+def test_hours_do_not_follow_the_session_zone(spark, tmp_path):
+    from riskloom.sources.shared_tables import event_prices
+
+    rows = "VALUES (TIMESTAMP_NTZ '2021-03-14 02:30:15.25', 'a', 1.0), (TIMESTAMP_NTZ '2021-03-14 03:10:00', 'a', 2.0)"
+    spark.sql(f"SELECT * FROM {rows} AS t(ts, event_type, value)").write.parquet(f"{tmp_path}/events.parquet")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        found = sorted(str(r.date) for r in event_prices(spark, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert found == ["2021-03-14 02:00:00", "2021-03-14 03:00:00"]
