@@ -107,6 +107,24 @@ PANELS = {
     "calendar_densify": with_tables(
         {**ORDERS, **RETURNS}, f"SELECT symbol, {DAY}, {rnd('price', 2)} AS price FROM filled"
     ),
+    "calendar_last_price": f"""
+        WITH o AS (
+          SELECT o_orderpriority AS symbol, CAST(o_orderdate AS DATE) AS day, o_totalprice AS price,
+                 CAST(o_orderdate AS DATE) - CAST(dayofweek(CAST(o_orderdate AS DATE)) AS INT) AS date
+          FROM orders
+        ), placed AS (
+          SELECT symbol, date, price, ROW_NUMBER() OVER (
+            PARTITION BY symbol, date ORDER BY day DESC, price DESC) AS nth
+          FROM o WHERE price IS NOT NULL
+        ), weeks AS (
+          SELECT CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS date
+          FROM (SELECT MIN(date) AS lo, MAX(day) AS hi FROM o)
+        ), grid AS (
+          SELECT symbol, date FROM (SELECT DISTINCT symbol FROM o), weeks
+        )
+        SELECT grid.symbol, strftime(grid.date, '%Y-%m-%d') AS date, {rnd('price', 2)} AS price
+        FROM grid LEFT JOIN placed
+          ON placed.symbol = grid.symbol AND placed.date = grid.date AND placed.nth = 1""",
     "log_returns_events": with_tables(
         {**EVENTS, **RETURNS}, f"SELECT symbol, {HOUR}, {rnd('ret', 8)} AS ret FROM x"
     ),

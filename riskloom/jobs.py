@@ -112,21 +112,35 @@ def main(argv: Sequence[str] | None = None) -> None:
     signal.add_argument("suppliers", nargs="+")
     signal.add_argument("--step", default="7 days")
     signal.add_argument("--horizon", type=int, default=1)
+    signal.add_argument("--lags", type=int, nargs="+", default=[0], help="weeks back of each supplier")
+    signal.add_argument("--sizing", choices=["expanding", "full"], default="expanding")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("riskloom").getOrCreate()
+    try:
+        _run(spark, args)
+    finally:
+        release_staged(spark)
+
+
+def _run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "loans":
         borrowers, book, repayments = files.read_loan_book(spark, args.source, args.format)
         for name, report in loan_reports(book, borrowers, repayments).items():
             files.write_csv(report, f"{args.out}/{name}")
-    else:
-        prices = files.read_csv(spark, args.source, schemas.PRICES)
-        tables, fit = signal_study(
-            prices, args.target, args.suppliers, step=args.step, horizon=args.horizon
-        )
-        files.write_result_set(tables, args.out)
-        files.write_csv(tables["summary"], f"{args.out}/summary_csv", single_file=True)
-        ml.save_models(fit, f"{args.out}/models")
-    release_staged(spark)
+        return
+    prices = files.read_csv(spark, args.source, schemas.PRICES)
+    tables, fit = signal_study(
+        prices,
+        args.target,
+        args.suppliers,
+        step=args.step,
+        horizon=args.horizon,
+        lags=args.lags,
+        sizing=args.sizing,
+    )
+    files.write_result_set(tables, args.out)
+    files.write_csv(tables["summary"], f"{args.out}/summary_csv", single_file=True)
+    ml.save_models(fit, f"{args.out}/models")
 
 
 if __name__ == "__main__":

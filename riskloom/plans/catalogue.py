@@ -344,6 +344,17 @@ def _calendar(spark, folder):
     return tidy(pn.densify(prices, pn.calendar_of(prices)), 2)
 
 
+def _calendar_last(spark, folder):
+    """Order values off the grid and several a day, put onto weeks that begin on Sundays."""
+    prices = _orders(spark, folder).select(
+        F.col("o_orderpriority").alias("symbol"),
+        F.col("o_orderdate").cast("date").alias("date"),
+        F.col("o_totalprice").alias("price"),
+    )
+    calendar = pn.calendar_of(prices, anchor="2024-01-07")
+    return tidy(pn.densify(prices, calendar), 2)
+
+
 def _event_returns(spark, folder):
     return tidy(event_panel(spark, folder)[0])
 
@@ -402,6 +413,7 @@ def _standardise(spark, folder):
 
 PANELS: dict[str, Query] = {
     "calendar_densify": _calendar,
+    "calendar_last_price": _calendar_last,
     "log_returns_events": _event_returns,
     "log_returns_orders": _order_returns,
     "lag_features": _lags,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,21 +40,64 @@ class Calendar:
         return spark.range(1).select(F.explode(self.dates()).alias("date"))
 
 
-def calendar_of(df: DataFrame, date: str = "date", step: str = "7 days") -> Calendar:
-    """Calendar from the first to the last date of ``df``: one aggregate, three values."""
+def _micros(span: Column) -> Column:
+    """Microseconds of a day-time interval."""
+    part = lambda unit: F.extract(F.lit(unit), span)
+    whole = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    return whole * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+
+
+def interval_start(date: Column, anchor: Column, step: str, kind: str) -> Column:
+    """The last of ``anchor + k * step`` that is not after ``date``; ``step`` has a fixed length.
+
+    Reckoned without a time zone, so a session zone with clock changes does not matter.
+    """
+    if kind not in ("date", "timestamp_ntz"):
+        raise TypeError(f"calendars are of date or timestamp_ntz, not {kind}")
+    zero = anchor.cast("timestamp_ntz")
+    each = _micros(zero + F.expr(f"interval {step}") - zero)
+    since = _micros(date.cast("timestamp_ntz") - zero)
+    seconds = (since - F.pmod(since, each)).cast("decimal(18,0)") * F.lit(Decimal("0.000001"))
+    none = F.lit(0)
+    return (zero + F.make_dt_interval(none, none, none, seconds.cast("decimal(18,6)"))).cast(kind)
+
+
+def calendar_of(
+    df: DataFrame, date: str = "date", step: str = "7 days", anchor: str | None = None
+) -> Calendar:
+    """Calendar from the first to the last date of ``df``: one aggregate, three values.
+
+    With an ``anchor`` (any date of the wanted grid, such as a Sunday) it starts at the grid's last
+    date that is not after the first one.
+    """
+    kind = df.schema[date].dataType.simpleString()
     ends = df.agg(F.min(date).alias("lo"), F.max(date).alias("hi"))
+    if anchor is not None:
+        ends = ends.withColumn("lo", interval_start(F.col("lo"), F.lit(anchor), step, kind))
     n = F.size(F.sequence("lo", "hi", F.expr(f"interval {step}")))
     lo, hi, length = ends.select(F.col("lo").cast("string"), F.col("hi").cast("string"), n).first()
     if lo is None:
         raise ValueError("no dates to build a calendar from")
-    return Calendar(lo, hi, step, length, df.schema[date].dataType.simpleString())
+    return Calendar(lo, hi, step, length, kind)
 
 
 def densify(prices: DataFrame, calendar: Calendar, symbols: DataFrame | None = None) -> DataFrame:
-    """Every (symbol, date) of the calendar; ``price`` is NULL where there was none."""
+    """Every (symbol, date) of the calendar once; ``price`` is NULL where there was none.
+
+    A price counts for the calendar interval that its date falls in; of several the last one does,
+    of several of one date the largest. Prices before the calendar or after its last interval are
+    left out.
+    """
     names = prices.select("symbol").distinct() if symbols is None else symbols
     grid = names.withColumn("date", F.explode(calendar.dates()))
-    return grid.join(prices, ["symbol", "date"], "left").select("symbol", "date", "price")
+    start = interval_start(F.col("date"), F.lit(calendar.start), calendar.step, calendar.kind)
+    last = (
+        prices.where(F.col("price").isNotNull())
+        .groupBy("symbol", start.alias("_start"))
+        .agg(F.max(F.struct("date", "price"))["price"].alias("price"))
+        .withColumnRenamed("_start", "date")
+    )
+    return grid.join(last, ["symbol", "date"], "left").select("symbol", "date", "price")
 
 
 def log_returns(

@@ -63,6 +63,31 @@ def test_calendar_and_returns(spark):
     assert column(raw.where("symbol = 'b'"), "ret") == [None] * 5
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_prices_off_the_grid(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        day = lambda d: dt.date(2024, 1, d)
+        rows = [(day(3), 1.0), (day(10), 2.0), (day(16), 4.0), (day(16), 3.0), (day(24), 8.0)]
+        prices = spark.createDataFrame([(d, "a", p) for d, p in rows], "date date, symbol string, price double")
+        calendar = pn.calendar_of(prices)
+        dense = pn.densify(prices, calendar).orderBy("date").collect()
+        # the 16th falls in the week of the 10th and is its last price; the larger of two counts
+        assert [(r.date, r.price) for r in dense] == [
+            (day(3), 1.0), (day(10), 4.0), (day(17), None), (day(24), 8.0)
+        ]
+        assert calendar.length == 4
+        sundays = pn.calendar_of(prices, anchor="2024-02-04")
+        assert (sundays.start, sundays.length) == ("2023-12-31", 4)
+        hour = lambda h, m=0: dt.datetime(2021, 3, 14, h, m)
+        rows = [(hour(1), "a", 1.0), (hour(2, 30), "a", 2.0), (hour(3), "a", 3.0)]
+        prices = spark.createDataFrame(rows, "date timestamp_ntz, symbol string, price double")
+        dense = pn.densify(prices, pn.calendar_of(prices, step="1 hour")).orderBy("date").collect()
+        assert [(r.date, r.price) for r in dense] == [(hour(1), 1.0), (hour(2), 2.0), (hour(3), 3.0)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_hourly_calendar(spark):
     rows = [(dt.datetime(2024, 1, 1, h), "a", 1.0) for h in (0, 5)]
     prices = spark.createDataFrame(rows, "date timestamp_ntz, symbol string, price double")
