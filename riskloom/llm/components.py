@@ -1,8 +1,9 @@
 """Connected components of a link table, by alternating star contractions.
 
-Every round is two grouped minima and joins back; nothing is collected but a row count and a
-checksum. A hot node is a group of a minimum (summed before the shuffle) and a hot key of a join,
-which adaptive execution splits. The rounds grow with the logarithm of the longest path.
+Every round is two grouped minima and joins back; nothing is collected but the number of nodes that
+are not yet leaves or roots of a star. A hot node is a group of a minimum (summed before the
+shuffle) and a hot key of a join, which adaptive execution splits. The rounds grow with the logarithm
+of the longest path.
 """
 
 from __future__ import annotations
@@ -13,6 +14,19 @@ from pyspark.sql import functions as F
 from riskloom.operators.staging import stage
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node is either the ``u`` of one edge or only a ``v``: stars, and nothing else."""
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")),
+            F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")),
+        )
+    )
+    nodes = edges.select(ends.alias("x")).groupBy("x.node")
+    sums = nodes.agg(F.sum("x.up").alias("up"), F.sum("x.root").alias("root"))
+    return sums.where("up > 1 OR (up > 0 AND root > 0)").count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``links`` (columns a, b).
 
@@ -23,14 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .distinct()
     )
-    edges, before = stage(edges, "links"), None
-    while True:
-        now = edges.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
-        ).first()
-        if now == before or now.n == 0:
-            break
-        before = now
+    edges = stage(edges, "links")
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = (
