@@ -109,3 +109,44 @@ SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate, o_orderkey DESC) AS
 UNION ALL
 (SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 8)""",
 }
+
+# the divided forms: other groups, the same definitions
+BY_PRIORITY = {
+    f"{name}_split": BLOCKS[name].replace("o_custkey", "o_orderpriority")
+    for name in ("running_total", "rolling_windows", "lag_change", "streak")
+}
+PRIORITY = "OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey"
+
+
+def lines_of(*keys: str) -> str:
+    names = ", ".join(keys)
+    shown = ", ".join(dict.fromkeys(["l_orderkey", "l_linenumber", *keys]))
+    return f"SELECT {shown}, COUNT(*) OVER (PARTITION BY {names}) AS lines_of_key FROM lineitem"
+
+
+BLOCKS |= {
+    **BY_PRIORITY,
+    "look_ahead_split": f"""
+SELECT o_orderkey, o_orderpriority, LAG(o_totalprice, 3) {PRIORITY}) AS before,
+       LEAD(o_totalprice, 2) {PRIORITY}) AS after
+FROM orders""",
+    "whole_group_split": f"""
+SELECT o_orderkey, o_orderpriority, ROW_NUMBER() {PRIORITY}) AS place,
+       COUNT(*) OVER (PARTITION BY o_orderpriority) AS group_n,
+       {rnd('SUM(o_totalprice) OVER (PARTITION BY o_orderpriority)', 2)} AS group_sum
+FROM orders""",
+    "drawdown_split": f"""
+WITH x AS (SELECT *, PRODUCT(1 + (o_totalprice - 150000e0) / 7e7)
+                         {PRIORITY} ROWS UNBOUNDED PRECEDING) AS w FROM orders),
+     y AS (SELECT *, MAX(w) {PRIORITY} ROWS UNBOUNDED PRECEDING) AS p FROM x)
+SELECT o_orderkey, o_orderpriority, {rnd('w', 6)} AS wealth, {rnd('p', 6)} AS peak,
+       {rnd('w / p - 1', 6)} AS drawdown
+FROM y""",
+    "rank_within_group_split": BLOCKS["rank_within_group"],
+    "percent_rank_split": BLOCKS["percent_rank_scaled"],
+    "ntile_many_split": BLOCKS["ntile_scaled"].replace("NTILE(7)", "NTILE(300)"),
+    "lookup_by_value_split": lines_of("l_returnflag"),
+    "lookup_by_tuple_split": lines_of("l_returnflag", "l_linestatus"),
+    "lookup_by_join_split": lines_of("l_quantity"),
+    "lookup_by_staged_keys_split": lines_of("l_partkey"),
+}

@@ -2,9 +2,10 @@
 
 A plain Spark window sorts a whole group inside one task. That is the best plan for many small
 groups and the worst one for a group that holds a third of the table. ``OrderedRows`` counts the
-groups once and keeps the plain window for those below ``hot_rows``. The rows of larger groups
-are range-partitioned by (group, order), so that a group spreads over many tasks, and get their
-exact position in the group. Windows then run over blocks of consecutive positions:
+groups once and keeps the plain window for those below ``hot_rows``. The rows of larger groups, and
+all rows of an order over the whole table, whatever its size, are range-partitioned by (group,
+order), so that a group spreads over many tasks, and get their exact position in the group. Windows
+then run over blocks of consecutive positions:
 
 * look-back and look-ahead frames see copies of the neighbouring rows of the next block,
 * running aggregates add what the earlier blocks of the group carry over,
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 from .skew import GROUP, HOT_ROWS, GroupSizes, sizes_of, small_enough
 from .staging import stage
 
-MAX_PARTS = 20_000  # range partitions of one placement
-
 SERIAL, POS, BLOCK, HOME = "_serial", "_pos", "_block", "_home"
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
@@ -55,7 +54,8 @@ class OrderedRows:
     """Rows of ``df`` in groups of ``keys``, each group ordered by ``order``.
 
     ``bound`` is an upper limit of group size that the caller has already checked, for instance
-    the length of a calendar; within ``hot_rows`` it makes the size check needless. ``sizes``
+    the length of a calendar or the rows of a counted table; it makes the size check needless
+    within ``hot_rows`` and without ``keys``. ``sizes``
     hands on a check that was made before. ``position`` names a column that already holds the
     row's position in its group, from 1 without gaps; big groups then need no placement.
     """
@@ -80,17 +80,13 @@ class OrderedRows:
         self.hot: DataFrame | None = None
         if self.keys:
             self._split(df, sizes_of(df, self.keys, hot_rows, bound, sizes), position)
-        elif bound is None or bound > hot_rows:
-            self._place_all(df)
+        else:
+            self.groups, self.cold = 1, None
+            whole = df.withColumn(GROUP, F.lit(0).cast("long"))
+            self.hot = self._place(whole, df.count() if bound is None else bound)
 
     # -- preparation -----------------------------------------------------------------------
 
-    def _place_all(self, df: DataFrame) -> None:
-        total = df.count()
-        if total > self.hot_rows:
-            self.groups, self.cold = 1, None
-            self.hot = self._place(df.withColumn(GROUP, F.lit(0).cast("long")), total)
-
     def _split(self, df: DataFrame, sizes: GroupSizes, position: str | None) -> None:
         if sizes.hot is None:
             return
@@ -102,7 +98,7 @@ class OrderedRows:
             self.hot = rows.withColumn(POS, F.col(position).cast("long") - 1)
 
     def _place(self, df: DataFrame, total: int) -> DataFrame:
-        parts = min(MAX_PARTS, math.ceil(total / self.hot_rows) + 1)
+        parts = math.ceil(total / self.hot_rows) + 1
         by = [F.col(GROUP).asc(), *sort_columns(self.order)]
         placed = stage(
             df.repartitionByRange(parts, *by)
@@ -112,20 +108,21 @@ class OrderedRows:
         )
         part = F.shiftright(F.col(SERIAL), _LOCAL_BITS)
         local = F.col(SERIAL).bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-        # one row per range partition, at most MAX_PARTS
+        # one row per range partition
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         parts_before = (
             placed.groupBy(part.alias("_part"))
             .agg(F.count(F.lit(1)).alias("_n"))
             .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
         )
+        parts_before = small_enough(parts_before, parts)
         # one row per big group
         first = placed.groupBy(GROUP).agg(F.min(SERIAL).alias(SERIAL))
-        first = first.join(F.broadcast(parts_before), part == F.col("_part")).select(
+        first = first.join(parts_before, part == F.col("_part")).select(
             F.col(GROUP).alias("_first_group"), (F.col("_before") + local).alias("_first")
         )
         return (
-            placed.join(F.broadcast(parts_before), part == F.col("_part"))
+            placed.join(parts_before, part == F.col("_part"))
             .join(small_enough(first, self.groups), F.col(GROUP) == F.col("_first_group"))
             .withColumn(POS, F.col("_before") + local - F.col("_first"))
             .drop("_part", "_before", "_first_group", "_first", SERIAL)

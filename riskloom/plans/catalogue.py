@@ -17,6 +17,7 @@ from .. import fixed_values as fv
 from ..functions import expr as e
 from ..operators import ranking, shares
 from ..operators.ordered import OrderedRows
+from ..operators.skew import HOT_ROWS, lookup_join
 from ..operators.staging import new_path, stage
 from ..sources import files, schemas
 from ..sources import shared_tables as src
@@ -145,8 +146,8 @@ def _table(name: str):
 
 
 _orders, _lines, _customers = _table("orders"), _table("lineitem"), _table("customer")
-ORDER_KEYS = ["o_custkey"]
 ORDER_BY = ["o_orderdate", "o_orderkey"]
+SPLIT_ROWS = 2_000  # rows of a group from which the entries named ..._split divide it
 
 
 def _csv_round_trip(spark, folder):
@@ -217,22 +218,22 @@ def _string_list(spark, folder):
     return shares.joined_text(_orders(spark, folder), ["o_custkey"], "o_orderpriority", "listed")
 
 
-def _orders_by_customer(spark, folder, *columns) -> OrderedRows:
-    rows = _orders(spark, folder).select("o_orderkey", "o_custkey", "o_orderdate", *columns)
-    return OrderedRows(rows, ORDER_KEYS, ORDER_BY)
+def _ordered(spark, folder, key, hot_rows) -> OrderedRows:
+    rows = _orders(spark, folder).select("o_orderkey", key, "o_orderdate", "o_totalprice")
+    return OrderedRows(rows, [key], ORDER_BY, hot_rows=hot_rows)
 
 
-def _running(spark, folder):
+def _running(spark, folder, key="o_custkey", hot_rows=HOT_ROWS):
     price = F.col("o_totalprice")
-    done = _orders_by_customer(spark, folder, "o_totalprice").running(
+    done = _ordered(spark, folder, key, hot_rows).running(
         {"running_sum": ("sum", price), "running_max": ("max", price), "n_so_far": ("count", price)}
     )
     return tidy(done.rows().drop("o_orderdate", "o_totalprice"), 4)
 
 
-def _rolling(spark, folder):
+def _rolling(spark, folder, key="o_custkey", hot_rows=HOT_ROWS):
     price = F.col("o_totalprice")
-    done = _orders_by_customer(spark, folder, "o_totalprice").nearby(
+    done = _ordered(spark, folder, key, hot_rows).nearby(
         {
             "mean_partial": lambda w: F.avg(price).over(w.rowsBetween(-2, 0)),
             "mean_full": pn.rolling_full(F.avg, price, 4),
@@ -244,9 +245,9 @@ def _rolling(spark, folder):
     return tidy(done.rows().drop("o_orderdate", "o_totalprice"), 4)
 
 
-def _lag_change(spark, folder):
+def _lag_change(spark, folder, key="o_custkey", hot_rows=HOT_ROWS):
     price = F.col("o_totalprice")
-    done = _orders_by_customer(spark, folder, "o_totalprice").nearby(
+    done = _ordered(spark, folder, key, hot_rows).nearby(
         {
             "change": lambda w: price - F.lag("o_totalprice").over(w),
             "first_zero": lambda w: price - F.coalesce(F.lag("o_totalprice").over(w), price),
@@ -257,37 +258,85 @@ def _lag_change(spark, folder):
     return tidy(done.rows().drop("o_orderdate", "o_totalprice"), 4)
 
 
-def _streak(spark, folder):
+def _streak(spark, folder, key="o_custkey", hot_rows=HOT_ROWS):
     big = F.col("o_totalprice") > 150000.0
-    flagged = lb.with_streak(_orders(spark, folder), ORDER_KEYS, ORDER_BY, big, 3, "streak")
-    return flagged.groupBy("o_custkey").agg(
+    rows = _orders(spark, folder)
+    flagged = lb.with_streak(rows, [key], ORDER_BY, big, 3, "streak", hot_rows=hot_rows)
+    return flagged.groupBy(key).agg(
         F.max("streak").cast("long").alias("has_streak"), F.sum("streak").alias("streak_rows")
     )
 
 
-def _rank_within_group(spark, folder):
+def _rank_within_group(spark, folder, hot_rows=HOT_ROWS):
     rows = _lines(spark, folder).select("l_orderkey", "l_partkey", "l_returnflag", "l_quantity")
     names = {"rank": "rank_in_flag", "dense_rank": "dense_in_flag"}
-    return ranking.with_value_ranks(rows, "-l_quantity", names, keys=["l_returnflag"])
+    return ranking.with_value_ranks(
+        rows, "-l_quantity", names, keys=["l_returnflag"], hot_rows=hot_rows
+    )
 
 
-def _percent_rank(spark, folder):
+def _percent_rank(spark, folder, hot_rows=HOT_ROWS):
     rows = _lines(spark, folder).select("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice")
     names = {"percent_rank": "price_percentile", "rank": "price_rank"}
-    return tidy(ranking.with_value_ranks(rows, "-l_extendedprice", names))
+    return tidy(ranking.with_value_ranks(rows, "-l_extendedprice", names, hot_rows=hot_rows))
 
 
-def _ntile(spark, folder):
+def _ntile(spark, folder, groups=7, hot_rows=HOT_ROWS):
     rows = _orders(spark, folder).select("o_orderkey", "o_totalprice")
-    return ranking.ntile(rows, 7, ["-o_totalprice", "o_orderkey"], "bucket")
+    order = ["-o_totalprice", "o_orderkey"]
+    return ranking.ntile(rows, groups, order, "bucket", hot_rows=hot_rows)
 
 
 def _row_number(spark, folder):
     rows = _orders(spark, folder).select("o_orderkey", "o_orderdate")
-    done = OrderedRows(rows, [], ["o_orderdate", "-o_orderkey"], hot_rows=50_000)
+    done = OrderedRows(rows, [], ["o_orderdate", "-o_orderkey"], hot_rows=SPLIT_ROWS)
     return done.position("rn").rows().select("o_orderkey", "rn")
 
 
+def _look_ahead_split(spark, folder):
+    done = _ordered(spark, folder, "o_orderpriority", SPLIT_ROWS).nearby(
+        {
+            "before": lambda w: F.lag("o_totalprice", 3).over(w),
+            "after": lambda w: F.lead("o_totalprice", 2).over(w),
+        },
+        back=3,
+        ahead=2,
+    )
+    return done.rows().drop("o_orderdate", "o_totalprice")
+
+
+def _whole_split(spark, folder):
+    price = F.col("o_totalprice")
+    done = _ordered(spark, folder, "o_orderpriority", SPLIT_ROWS).position("place")
+    done = done.whole({"group_n": F.count(F.lit(1)), "group_sum": F.sum(price)})
+    return tidy(done.rows().drop("o_orderdate", "o_totalprice"), 2)
+
+
+def _drawdown_split(spark, folder):
+    """Wealth that moves with the order value, its peak so far, and the fall from the peak."""
+    move = 1 + (F.col("o_totalprice") - 150_000.0) / 7e7
+    done = _ordered(spark, folder, "o_orderpriority", SPLIT_ROWS)
+    done = done.running({"wealth": ("product", move)})
+    done = done.running({"peak": ("max", F.col("wealth"))})
+    done = done.with_columns({"drawdown": F.col("wealth") / F.col("peak") - 1})
+    return tidy(done.rows().drop("o_orderdate", "o_totalprice"), 6)
+
+
+def _lookup_split(keys, hot_rows):
+    """Lines with the line count of their key, by a join that spreads keys above ``hot_rows``."""
+
+    def run(spark, folder):
+        lines = _lines(spark, folder)
+        names = {k: f"of_{k}" for k in keys}
+        counts = lines.groupBy(*[F.col(k).alias(n) for k, n in names.items()])
+        table = counts.agg(F.count(F.lit(1)).alias("lines_of_key"))
+        columns = dict.fromkeys(["l_orderkey", "l_linenumber", *keys])
+        joined = lookup_join(lines.select(*columns), table, names, hot_rows=hot_rows)
+        return joined.drop(*names.values())
+
+    return run
+
+
 def _two_ended(spark, folder):
     rows = _customers(spark, folder).select("c_custkey", "c_acctbal")
     return ranking.two_ended_top(rows, "c_acctbal", "c_custkey", 12, 8)
@@ -322,6 +371,25 @@ BLOCKS: dict[str, Query] = {
     "two_ended_top": _two_ended,
 }
 
+# the same steps where groups are divided: the way that hot keys take at scale
+BY_PRIORITY = {"key": "o_orderpriority", "hot_rows": SPLIT_ROWS}
+BLOCKS |= {
+    "running_total_split": partial(_running, **BY_PRIORITY),
+    "rolling_windows_split": partial(_rolling, **BY_PRIORITY),
+    "lag_change_split": partial(_lag_change, **BY_PRIORITY),
+    "streak_split": partial(_streak, **BY_PRIORITY),
+    "look_ahead_split": _look_ahead_split,
+    "whole_group_split": _whole_split,
+    "drawdown_split": _drawdown_split,
+    "rank_within_group_split": partial(_rank_within_group, hot_rows=20),
+    "percent_rank_split": partial(_percent_rank, hot_rows=SPLIT_ROWS),
+    "ntile_many_split": partial(_ntile, groups=300, hot_rows=SPLIT_ROWS),
+    "lookup_by_value_split": _lookup_split(["l_returnflag"], SPLIT_ROWS),
+    "lookup_by_tuple_split": _lookup_split(["l_returnflag", "l_linestatus"], SPLIT_ROWS),
+    "lookup_by_join_split": _lookup_split(["l_quantity"], 1_000),
+    "lookup_by_staged_keys_split": _lookup_split(["l_partkey"], 20),
+}
+
 # -- panels --------------------------------------------------------------------------------
 
 

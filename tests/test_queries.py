@@ -6,6 +6,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check import canonical, connect
+from riskloom.operators.ordered import OrderedRows
+from riskloom.operators.skew import measure
+from riskloom.plans import catalogue
+from riskloom.sources import shared_tables as src
 
 SMALL = "/root/testdata/sf0.001"
 QUERIES, SQL = queries(), oracle_sql()
@@ -31,7 +35,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_only_fitted_models_have_no_sql():
-    missing = set(QUERIES) - set(SQL)
+    missing = set(catalogue.QUERIES) - set(SQL)
     assert missing == {
         "fit_elastic_net",
         "fit_tree",
@@ -81,3 +85,25 @@ def test_cumulative_report_needs_one_exchange_after_numbering(spark):
     text = plan(QUERIES["q10_cumulative_collections"](spark, SMALL))
     assert len(re.findall(r"Exchange rangepartitioning", text)) == 1
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
+
+
+def test_split_entries_divide_their_groups(spark):
+    """At the scale of the SQL check the entries named ..._split do take the divided way."""
+    folder = "/root/testdata/sf0.01"
+    lines = src.table(spark, folder, "lineitem")
+    rows = catalogue._ordered(spark, folder, "o_orderpriority", catalogue.SPLIT_ROWS)
+    assert rows.hot is not None and rows.hot.count() > catalogue.SPLIT_ROWS
+    by_value = measure(lines, ["l_returnflag"], catalogue.SPLIT_ROWS).hot
+    by_tuple = measure(lines, ["l_returnflag", "l_linestatus"], catalogue.SPLIT_ROWS).hot
+    assert by_value.values and by_tuple.values
+    by_join = measure(lines, ["l_quantity"], 1_000).hot
+    staged = measure(lines, ["l_partkey"], 20).hot
+    assert by_join.values is None and by_join.count <= 1_000 < staged.count
+
+
+def test_orders_over_a_table_are_placed_at_any_size(spark):
+    few = spark.createDataFrame([(3,), (1,), (2,)], "v int")
+    for rows, want in ((few, [(1, 1), (2, 2), (3, 3)]), (few.where("v > 9"), [])):
+        ordered = OrderedRows(rows, [], ["v"])
+        assert ordered.cold is None
+        assert sorted(tuple(r) for r in ordered.position("n").rows().collect()) == want
