@@ -136,7 +136,7 @@ SELECT o_orderkey, o_orderpriority, ROW_NUMBER() {PRIORITY}) AS place,
        {rnd('SUM(o_totalprice) OVER (PARTITION BY o_orderpriority)', 2)} AS group_sum
 FROM orders""",
     "drawdown_split": f"""
-WITH x AS (SELECT *, PRODUCT(1 + (o_totalprice - 150000e0) / 7e7)
+WITH x AS (SELECT *, PRODUCT(1 + (o_totalprice - 150000e0) / 73180319)
                          {PRIORITY} ROWS UNBOUNDED PRECEDING) AS w FROM orders),
      y AS (SELECT *, MAX(w) {PRIORITY} ROWS UNBOUNDED PRECEDING) AS p FROM x)
 SELECT o_orderkey, o_orderpriority, {rnd('w', 6)} AS wealth, {rnd('p', 6)} AS peak,

@@ -314,7 +314,7 @@ def _whole_split(spark, folder):
 
 def _drawdown_split(spark, folder):
     """Wealth that moves with the order value, its peak so far, and the fall from the peak."""
-    move = 1 + (F.col("o_totalprice") - 150_000.0) / 7e7
+    move = 1 + (F.col("o_totalprice") - 150_000.0) / 73_180_319
     done = _ordered(spark, folder, "o_orderpriority", SPLIT_ROWS)
     done = done.running({"wealth": ("product", move)})
     done = done.running({"peak": ("max", F.col("wealth"))})
