@@ -30,7 +30,8 @@ def count_share(df: DataFrame, key: str, name: str = "pct", digits: int = 2) ->
 def concentration(df: DataFrame, key: str, value: str) -> DataFrame:
     """Share of ``value`` per key in percent (``share``) and its square (``squared``)."""
     sums = df.groupBy(key).agg(F.sum(value).alias("_sum"))
-    shares = with_share(sums, "_sum", total_of(df, F.sum(value)), "share", None)
+    # the total adds up the groups, so that both read one exchange of sums
+    shares = with_share(sums, "_sum", total_of(sums, F.sum("_sum")), "share", None)
     return shares.select(key, "share", (F.col("share") * F.col("share")).alias("squared"))
 
 

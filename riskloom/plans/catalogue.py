@@ -208,9 +208,10 @@ def _hhi(spark, folder):
 
 def _top_k_share(spark, folder):
     orders = _orders(spark, folder)
-    sums = orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    total = shares.total_of(orders, F.sum("o_totalprice"))
+    sums = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("value"))
+    total = shares.total_of(sums, F.sum("value"))
     shared = shares.with_share(sums, "value", total, "pct", 6)
+    shared = shared.withColumn("value", F.round("value", 2))
     return ranking.top_k(shared, ["-value", "o_custkey"], 25)
 
 
