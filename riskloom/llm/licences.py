@@ -1,15 +1,23 @@
-"""Licence scan: TF-IDF cosine of header lines and whole files to templates, then inheritance.
+"""Licence scan: TF-IDF cosine of lines, blocks of lines and whole files to templates, then inheritance.
 
-Terms are lower-cased runs of letters, digits and dots. Document frequencies of the templates' terms
+Templates are one-line notices, usual file headers and whole licence texts (``licence_texts``). Terms
+are lower-cased runs of letters, digits and dots. Document frequencies of the templates' terms
 are counted over all texts (terms outside the templates weigh as much as the rarest one). Each line
-is compared with each template; a file that is named as a licence file, or whose whole text is like
-a template, declares that licence for its directory (on demand also one whose first line is). A file
-without a licence line of its own inherits
+and each whole file is compared with every template, and blocks of neighbouring lines (lines without
+terms, such as bare comment marks, do not count) with the templates of up to ``BLOCK_TERMS`` terms:
+from every line on, the blocks of about the template's length. A pair is skipped only where a bound on
+its cosine is below the threshold: the numerator is a sum over terms, and a block's norm is at least
+the root of its summed squared weights. Notices must hold the licence's name whole. ``SPDX-License-Identifier`` tags are read by their names.
+
+A file that is named as a licence file, or whose whole text is like
+a template, declares that licence for its directory (on demand also one whose first line, or a block
+from it on, is). A file without a licence of its own inherits
 from the nearest ancestor directory with a declaration: directories (not files) are joined with
 declarations along their ancestors, and files then with their directory.
 
 Edge cases: null and empty texts hold no licence but may inherit; several lines above the threshold:
-the best, at ties the first template by name; several declarations of one directory: the best score,
+the best, at ties the first template by name (a name without a version, as ``GPL``, only where no other
+is found); an SPDX expression of several names gives the first known one; several declarations of one directory: the best score,
 then the smaller name; null paths neither declare nor inherit; rows repeated with one path give one
 row each; lines of any length are compared whole; an empty table gives an empty result. Only the
 named columns are read, so other columns may have any names.
@@ -17,6 +25,9 @@ named columns are read, so other columns may have any names.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,17 +44,130 @@ from riskloom.llm.text_batches import (
 )
 from riskloom.operators.staging import stage
 
-#: Usual notices, by licence name.
+TEXTS = {
+    p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+}
+#: What licences are called in notices, by licence name.
+CALLED = {
+    "AGPL": ["GNU Affero General Public License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "AGPL-3.0 license"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache 2.0 license"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-style license"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"],
+    "CC0-1.0": ["Creative Commons CC0 1.0 Universal"],
+    "GPL": ["GNU General Public License"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2", "GPLv2 license"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3", "GPLv3 license"],
+    "ISC": ["ISC License"],
+    "LGPL": ["GNU Lesser General Public License"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3"],
+    "MIT": ["MIT License"],
+    "MPL": ["Mozilla Public License"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "MPL 2.0 license"],
+}
+NO_VERSION = {"AGPL", "GPL", "LGPL", "MPL"}
+#: Usual notices around such a name.
+NOTICES = [
+    "{}",
+    "Licensed under the {}.",
+    "This project is released under the {}.",
+    "This project is licensed under the {} - see the LICENSE file for details.",
+    "This work is licensed under a {}.",
+    "Distributed under the {}. See LICENSE for more information.",
+]
+_GNU = """{program} is free software: you can redistribute it and/or modify it under the terms of the
+GNU {kind} as published by the Free Software Foundation, either version {version} of the License, or
+(at your option) any later version. {program} is distributed in the hope that it will be useful, but
+WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU {kind} for more details. You should have received a copy of the GNU {kind} along
+with this program. If not, see <https://www.gnu.org/licenses/>."""
+_LESSER, _AFFERO = "Lesser General Public License", "Affero General Public License"
+#: Usual headers, titles and further notices.
+HEADERS = {
+    "AGPL-3.0": [
+        _GNU.format(program="This program", kind=_AFFERO, version="3"),
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+        TEXTS["GPL-3.0"].replace("General Public License", _AFFERO).replace(
+            "GENERAL PUBLIC LICENSE", _AFFERO.upper()
+        ),
+    ],
+    "Apache-2.0": [
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
+        except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+        writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+        WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the
+        specific language governing permissions and limitations under the License.""",
+        """Licensed to the Apache Software Foundation (ASF) under one or more contributor license
+        agreements. See the NOTICE file distributed with this work for additional information regarding
+        copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0
+        (the "License"); you may not use this file except in compliance with the License. You may
+        obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by
+        applicable law or agreed to in writing, software distributed under the License is distributed
+        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the
+        License.""",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ],
+    "BSD-3-Clause": [
+        "Use of this source code is governed by a BSD-style license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    ],
+    "CC-BY-4.0": [
+        "Licensed under CC BY 4.0.",
+        "To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
+    ],
+    "CC-BY-NC-4.0": [
+        "Licensed under CC BY-NC 4.0.",
+        "To view a copy of this license, visit http://creativecommons.org/licenses/by-nc/4.0/",
+    ],
+    "GPL-2.0": [
+        _GNU.format(program="This program", kind="General Public License", version="2"),
+        "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    ],
+    "GPL-3.0": [
+        "This work is licensed under the GNU General Public License, version 3.",
+        _GNU.format(program="This program", kind="General Public License", version="3"),
+        "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ],
+    "LGPL-2.1": [
+        _GNU.format(program="This library", kind=_LESSER, version="2.1"),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    ],
+    "LGPL-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        _GNU.format(program="This library", kind=_LESSER, version="3"),
+        "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    ],
+    "MIT": [
+        "Released under the MIT License.",
+        "The MIT License (MIT)",
+        "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+        TEXTS["MIT"][TEXTS["MIT"].index("Permission") : TEXTS["MIT"].index("The above")],
+    ],
+    "MPL-2.0": [
+        "This work is subject to the terms of the Mozilla Public License, version 2.0.",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy
+        of the MPL was not distributed with this file, You can obtain one at
+        https://mozilla.org/MPL/2.0/.""",
+    ],
+}
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license.",
-    "CC-BY-4.0": "Licensed under the Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
+    name: [
+        *(notice.format(called) for called in CALLED.get(name, []) for notice in NOTICES),
+        *HEADERS.get(name, []),
+        *([TEXTS[name]] if name in TEXTS else []),
+    ]
+    for name in sorted({*CALLED, *TEXTS})
 }
+SPDX_NAMES = sorted(set(TEMPLATES) - NO_VERSION)
+BLOCK_TERMS = 400  # longest template that is looked for inside files; longer ones are compared with whole files
+BLOCK_SIZES = np.unique(np.round(3 * 1.2 ** np.arange(30)).astype(int))
+NOTICE_CHARS = 200  # longest notice
+CHUNK_TERMS = 1 << 20  # terms of blocks that are compared at once
 MIN_COSINE = 0.8
 FILE_NAMES = r"(?i)(^|/)(licen[cs]e|copying|notice)(\.[a-z]+)?$"
 PARTS = np.zeros(256, bool)
@@ -64,19 +188,38 @@ def _terms(column: pa.Array):
     return span_hashes(data, start, end, HASHER), row, start, data, at
 
 
+def _name_in(licence: str, text: str) -> str:
+    """The longest usual name of the licence in a notice; none for headers and whole texts."""
+    found = [x for x in CALLED.get(licence, []) if x.lower() in text.lower()]
+    return max(found, key=len, default="") if len(text) <= NOTICE_CHARS else ""
+
+
 class Templates:
-    def __init__(self, texts: dict[str, str]):
-        self.names = sorted(texts)
-        h, row, *_ = _terms(pa.array([texts[n] for n in self.names]))
+    """Term vectors of all templates; ``names`` has a licence name for each."""
+
+    def __init__(self, texts: dict[str, str | Iterable[str]]):
+        pairs = sorted({(n, t) for n, x in texts.items() for t in ([x] if isinstance(x, str) else x)})
+        self.names = [n for n, _ in pairs]
+        self.firm = np.array([n not in NO_VERSION for n in self.names])
+        h, row, *_ = _terms(pa.array([t for _, t in pairs]))
+        self.size = np.bincount(row, minlength=len(pairs))
         self.terms, term = np.unique(h, return_inverse=True)
-        self.tf = np.zeros((len(self.names), len(self.terms)))
-        np.add.at(self.tf, (row, term), 1)
+        # a notice counts only where the whole name it holds is there: "License." is like "MIT License" where "mit" is usual
+        said, of, *_ = _terms(pa.array([_name_in(n, t) for n, t in pairs]))
+        self.must = [np.unique(self.place(said[of == k])) for k in range(len(pairs))]
+        code, count = np.unique(row * len(self.terms) + term, return_counts=True)
+        self.of, self.term, self.tf = code // len(self.terms), code % len(self.terms), count
+        self.at = np.searchsorted(self.of, np.arange(len(pairs) + 1))
+        spdx, tag, *_ = _terms(pa.array(["SPDX-License-Identifier", *SPDX_NAMES]))
+        self.spdx = [spdx[tag == i] for i in range(len(SPDX_NAMES) + 1)]
+        self.later = _terms(pa.array(["only or"]))[0]  # as in GPL-2.0-only, GPL-2.0-or-later
 
     def weigh(self, df: np.ndarray, n_docs: int) -> Templates:
         self.idf = np.log((1 + n_docs) / (1 + df)) + 1
         self.rest = float(self.idf.max())  # of terms outside the templates
-        vectors = self.tf * self.idf
-        self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        value = self.tf * self.idf[self.term]
+        norm = np.sqrt(np.bincount(self.of, value * value, len(self.names)))
+        self.value = value / norm[self.of]
         return self
 
     def place(self, h: np.ndarray) -> np.ndarray:
@@ -84,6 +227,15 @@ class Templates:
         at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
         return np.where(self.terms[at] == h, at, -1)
 
+    def weights(self, term: np.ndarray) -> np.ndarray:
+        return np.where(term >= 0, self.idf[term], self.rest)
+
+    def shares(self, k: int) -> np.ndarray:
+        """What one occurrence of each term adds to the numerator of template ``k``'s cosine."""
+        out, some = np.zeros(len(self.terms)), slice(self.at[k], self.at[k + 1])
+        out[self.term[some]] = self.value[some] * self.idf[self.term[some]]
+        return out
+
     def cosines(self, h: np.ndarray, unit: np.ndarray, n_units: int) -> np.ndarray:
         """(units, templates) cosine of the units' term vectors."""
         order = np.lexsort((h, unit))
@@ -93,14 +245,27 @@ class Templates:
         tf = np.diff(np.append(np.flatnonzero(new), len(h)))
         h, unit = h[new], unit[new]
         term = self.place(h)
-        weight = tf * np.where(term >= 0, self.idf[term], self.rest)
+        weight = tf * self.weights(term)
         norm = np.sqrt(np.bincount(unit, weight * weight, n_units))
         out = np.zeros((n_units, len(self.names)))
         known = term >= 0
+        unit, term, tf = unit[known], term[known], tf[known]
         for k in range(len(self.names)):
-            part = weight[known] * self.vectors[k, term[known]]
-            out[:, k] = np.bincount(unit[known], part, n_units)
-        return out / np.maximum(norm, 1e-12)[:, None]
+            out[:, k] = np.bincount(unit, tf * self.shares(k)[term], n_units)
+            if len(self.must[k]):
+                held = np.bincount(unit[np.isin(term, self.must[k])], minlength=n_units)
+                out[held < len(self.must[k]), k] = 0
+        return np.round(out / np.maximum(norm, 1e-12)[:, None], 12)
+
+    def tagged(self, h: np.ndarray, joined: np.ndarray) -> str | None:
+        """The first known SPDX name of an expression: its terms, and whether a hyphen joins each to the last."""
+        for y in np.flatnonzero(~joined):
+            for name, x in zip(SPDX_NAMES, self.spdx[1:]):
+                to = y + len(x)
+                if np.array_equal(h[y:to], x) and joined[y + 1 : to].all():
+                    if to == len(h) or not joined[to] or h[to] in self.later:
+                        return name
+        return None
 
 
 def _frequencies(templates: Templates):
@@ -115,58 +280,108 @@ def _frequencies(templates: Templates):
     return work
 
 
+def _alike(t: Templates, term: np.ndarray, first: np.ndarray, rows: np.ndarray):
+    """Blocks of lines that may reach the threshold: their first lines and ends.
+
+    ``first`` has the first term of every line (and the end), ``rows`` the first line of every file.
+    """
+    n = len(first) - 1
+    known = np.flatnonzero(term >= 0)
+    line = np.searchsorted(first, known, "right") - 1
+    part = term[known]
+    brief = np.zeros(len(t.terms), bool)  # terms of templates that are looked for in blocks
+    brief[t.term[t.size[t.of] <= BLOCK_TERMS]] = True
+    weight = t.weights(term)
+    norm = np.concatenate(([0.0], np.cumsum(weight * weight)))[first]
+    last = rows[np.searchsorted(rows, np.arange(n), "right")]
+    ends = {}
+    few = brief[part]
+    brief_line, brief_part = line[few], part[few]
+    begin, end = [], []
+    for k in range(len(t.names)):
+        short = t.size[k] <= BLOCK_TERMS
+        add = np.bincount(brief_line if short else line, t.shares(k)[brief_part if short else part], n)
+        start = np.flatnonzero(add > 0)  # a line that adds nothing does not raise a block's cosine
+        sums = np.concatenate(([0.0], np.cumsum(add)))
+        tries = [(start, start + 1), (rows[:-1], rows[1:])]
+        if short:
+            for m in BLOCK_SIZES[(BLOCK_SIZES >= 0.6 * t.size[k]) & (BLOCK_SIZES <= 1.6 * t.size[k])]:
+                if m not in ends:
+                    to = np.searchsorted(first, first[:-1] + m, "right") - 1
+                    ends[m] = np.minimum(to, last)
+                some = start[ends[m][start] > start + 1]
+                tries.append((some, ends[m][some]))
+        for i, j in tries:
+            reach = sums[j] - sums[i]
+            may = reach * reach >= (MIN_COSINE - 1e-6) ** 2 * (norm[j] - norm[i])
+            begin.append(i[may])
+            end.append(j[may])
+    code = np.unique(np.concatenate(begin) * (n + 1) + np.concatenate(end))
+    return code // (n + 1), code % (n + 1)
+
+
 def _scan(templates: Templates, opening_declares: bool):
     def work(part: pa.RecordBatch) -> dict:
-        column = part.column("text")
+        t, column = templates, part.column("text")
         h, row, start, data, at = _terms(column)
         n = part.num_rows
-        begin, end, of, pos, first = line_spans(data, at)
-        line = np.searchsorted(begin, start, "right") - 1
+        begin, _, _, pos, _ = line_spans(data, at)
         # empty lines share their start with the next line, so take the last line that begins there
-        known = templates.place(h) >= 0
-        hits = np.bincount(line[known], minlength=len(begin))
-        size = np.bincount(line, minlength=len(begin))
-        # a cosine over the threshold needs at least half of a line's terms in the templates
-        may = np.flatnonzero(2 * hits >= size) if len(begin) else np.zeros(0, int)
-        may = may[size[may] > 0]
-        best, name = np.zeros(n), np.full(n, -1)
-        opening = np.full(n, -1)
-        if len(may):
-            number = np.full(len(begin), -1)
-            number[may] = np.arange(len(may))
-            some = number[line] >= 0
-            cosine = templates.cosines(h[some], number[line[some]], len(may))
-            top, score = cosine.argmax(1), cosine.max(1)
-            for i in np.flatnonzero(score >= MIN_COSINE):
-                r = of[may[i]]
-                if pos[may[i]] == 0:
-                    opening[r] = top[i]
-                if score[i] > best[r] or (score[i] == best[r] and top[i] < name[r]):
-                    best[r], name[r] = score[i], top[i]
-        whole = np.full(n, -1)
-        total = np.bincount(row, minlength=n)
-        rows = np.flatnonzero(2 * np.bincount(row[known], minlength=n) >= np.maximum(total, 1))
-        if len(rows):
-            number = np.full(n, -1)
-            number[rows] = np.arange(len(rows))
-            some = number[row] >= 0
-            cosine = templates.cosines(h[some], number[row[some]], len(rows))
-            over = cosine.max(1) >= MIN_COSINE
-            whole[rows[over]] = cosine.argmax(1)[over]
-        call = lambda x: pa.array([templates.names[k] if k >= 0 else None for k in x], pa.string())
+        line = np.searchsorted(begin, start, "right") - 1
+        new = np.ones(len(line), bool)
+        new[1:] = line[1:] != line[:-1]
+        first = np.append(np.flatnonzero(new), len(line))  # lines with terms only
+        best, name = np.zeros(n), [None] * n
+        opening, whole = [None] * n, [None] * n
+        key = np.zeros(n)  # firm names go before names without a version
+        if len(line):
+            of, top = row[first[:-1]], pos[line[first[:-1]]] == 0
+            rows = np.append(np.flatnonzero(np.append(True, of[1:] != of[:-1])), len(of))
+            i, j = _alike(t, t.place(h), first, rows)
+            opens, closes = np.isin(i, rows[:-1]), np.isin(j, rows[1:])
+            size = first[j] - first[i]
+            cuts = np.searchsorted(np.cumsum(size), np.arange(0, size.sum(), CHUNK_TERMS), "right")
+            for low, high in zip(cuts, [*cuts[1:], len(i)]):
+                if low == high:
+                    continue
+                unit = np.repeat(np.arange(high - low), size[low:high])
+                within = np.arange(len(unit)) - np.repeat(np.cumsum(size[low:high]) - size[low:high], size[low:high])
+                cosine = t.cosines(h[first[i[low:high]][unit] + within], unit, high - low)
+                nearest = (cosine + 1e-9 * t.firm).argmax(1)
+                over = cosine >= MIN_COSINE
+                for u in np.flatnonzero(over.any(1)):
+                    x, k = low + u, int(nearest[u])
+                    rank = cosine[u, k] + t.firm[k]
+                    r = of[i[x]]
+                    is_whole = opens[x] and closes[x] and rows[np.searchsorted(rows, i[x]) + 1] == j[x]
+                    if is_whole:
+                        whole[r] = t.names[k]
+                    if rank > key[r] or (rank == key[r] and t.names[k] < name[r]):
+                        key[r], best[r], name[r] = rank, cosine[u, k], t.names[k]
+                    if top[i[x]] and (opening[r] is None or rank > opening[r][0]):
+                        opening[r] = (rank, t.names[k])
+        for x in np.flatnonzero(h == t.spdx[0][0]):
+            r, to = row[x], np.searchsorted(line, line[x], "right")
+            if np.array_equal(h[x : min(x + 3, to)], t.spdx[0]):
+                said = t.tagged(h[x + 3 : to], data[start[x + 3 : to] - 1] == ord("-"))
+                if said and (key[r] < 2 or said < name[r]):
+                    key[r], best[r], name[r] = 2.0, 1.0, said
+                if said and pos[line[x]] == 0:
+                    opening[r] = (2.0, said)
+        declared = [w or (o[1] if o and opening_declares else None) for w, o in zip(whole, opening)]
         return {
             "doc_id": part.column("doc_id"),
             "path": part.column("path"),
-            "header": call(name),
-            "score": best,
-            "declared": call(np.where((whole < 0) & opening_declares, opening, whole)),
+            "header": pa.array(name, pa.string()),
+            "score": np.minimum(best, 1.0),
+            "declared": pa.array(declared, pa.string()),
         }
 
     return work
 
 
 def scan(
-    files: DataFrame, templates: dict[str, str] = TEMPLATES, opening_declares: bool = False
+    files: DataFrame, templates: dict[str, str | Iterable[str]] = TEMPLATES, opening_declares: bool = False
 ) -> DataFrame:
     """``doc_id, path, header, score, declared`` of files with doc_id, path and text."""
     model = Templates(templates)
@@ -220,7 +435,7 @@ def inherit(scanned: DataFrame) -> DataFrame:
 
 
 def scan_files(
-    files: DataFrame, templates: dict[str, str] = TEMPLATES, opening_declares: bool = False
+    files: DataFrame, templates: dict[str, str | Iterable[str]] = TEMPLATES, opening_declares: bool = False
 ) -> DataFrame:
     """Licence of every file; ``opening_declares`` lets a file's first line speak for its directory."""
     return inherit(stage(scan(files, templates, opening_declares), "licence-scan"))

@@ -261,6 +261,80 @@ def test_licences(spark, docs, empty):
     assert licences.scan_files(licences.document_paths(empty)).count() == 0
 
 
+MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+and associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies
+of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following
+conditions:"""
+APACHE_HEADER = """/*
+ * Copyright 2019 The Example Authors. All rights reserved.
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     https://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */
+package org.example;
+"""
+
+
+def test_licence_texts_and_wrapped_headers(spark):
+    code = "int value = other + 1;\n" * 30
+    texts = {n: t.replace("Copyright (c)", "Copyright (c) 2021 Jane Doe") for n, t in licences.TEXTS.items()}
+    files = [(f"{n}/COPYING.txt", t, n, True) for n, t in texts.items()]
+    files += [
+        ("one", " ".join(texts["MIT"].split()), "MIT", True),
+        ("two", code + MIT_GRANT + "\n" + code, "MIT", False),
+        ("three", APACHE_HEADER + code, "Apache-2.0", False),
+        ("four", "# Released under\n#\n# the MIT License.\n" + code, "MIT", False),
+        ("five", code + "This project is released under the MIT License\n", "MIT", False),
+        ("six", code + "Licensed under the MIT license.\n", "MIT", False),
+        ("seven", code + "GNU GENERAL PUBLIC LICENSE\n", "GPL", False),
+        ("eight", "// SPDX-License-Identifier: MIT\n" + code, "MIT", False),
+        ("nine", "# SPDX-License-Identifier: (GPL-2.0-or-later OR MIT)\n" + code, "GPL-2.0", False),
+        ("ten", "# SPDX-License-Identifier: EPL-2.0\n" + code, None, False),
+        ("eleven", "# SPDX-License-Identifier: MIT-0\n" + code, None, False),
+        ("twelve", "license\n" + code + "the terms of this license\n", None, False),
+    ]
+    rows = [(i, path, text) for i, (path, text, *_) in enumerate(files)]
+    rows += [(i, None, f"Der Fluss {i} mit dem Stein") for i in range(1000, 1300)]
+    table = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in licences.scan(table).collect()}
+    for i, (path, _, name, declares) in enumerate(files):
+        assert got[i].header == name, path
+        assert got[i].declared == (name if declares else None), path
+    assert all(got[i].header is None for i in range(1000, 1300))
+
+
+def test_licence_blocks_equal_plain(spark):
+    """Every line, every file and every block of a tried length, compared without a bound."""
+    t = licences.Templates(licences.TEMPLATES)
+    t.weigh(np.random.default_rng(6).integers(0, 500, len(t.terms)).astype(float), 1000)
+    rng = random.Random(6)
+    pool = " ".join(licences.TEXTS[n] for n in ("MIT", "ISC")).split() + WORDS * 20
+    notice = "Licensed under the\nApache License,\nVersion 2.0."
+    texts = ["\n".join(" ".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(12)) for _ in range(20)]
+    texts = [f"{x}\n{notice}\n{x}" if i % 3 == 0 else x for i, x in enumerate(texts)]
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "path": pa.nulls(20, pa.string()), "text": texts})
+    got = licences._scan(t, False)(part)["score"]
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        blocks = ["\n".join(lines[a:b]) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1)]
+        h, unit, *_ = licences._terms(pa.array(blocks))
+        cosine = t.cosines(h, unit, len(blocks)).max(1)
+        single = max(c for b, c in zip(blocks, cosine) if "\n" not in b)
+        assert got[i] <= cosine.max() + 1e-9
+        assert got[i] >= single if single >= licences.MIN_COSINE else True
+        assert (got[i] > 0.99) == (i % 3 == 0)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 16))
