@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+GATHER = 1 << 20  # features whose weights are gathered at once
+
 
 class ChainCRF:
     """``weights`` (features + 1 for padding, labels), ``moves`` (labels, labels), ``start``."""
@@ -18,8 +20,20 @@ class ChainCRF:
         self.moves = np.zeros((n_labels, n_labels), np.float32)
         self.start = np.zeros(n_labels, np.float32)
 
-    def emissions(self, features: np.ndarray) -> np.ndarray:
-        """Scores of every label at every position; features: (positions, slots) of numbers."""
+    def emissions(self, features: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
+        """Scores of every label at every position; features: (positions, slots) of numbers.
+
+        Given ``at``, position i has the features ``at[i]`` to ``at[i + 1]`` of one long array (one at least).
+        """
+        if at is not None:
+            out = np.empty((len(at) - 1, self.weights.shape[1]), np.float32)
+            low = 0
+            while low < len(out):  # a bounded number of features at once, or one position's
+                high = max(low + 1, int(np.searchsorted(at, at[low] + GATHER, "right")) - 1)
+                rows = self.weights[features[at[low] : at[high]]]
+                out[low:high] = np.add.reduceat(rows, at[low:high] - at[low], axis=0)
+                low = high
+            return out
         out = np.zeros((len(features), self.weights.shape[1]), np.float32)
         for slot in range(features.shape[1]):
             out += self.weights[features[:, slot]]
@@ -33,10 +47,12 @@ class ChainCRF:
         rounds: int = 100,
         rate: float = 0.1,
         decay: float = 1e-3,
+        at: np.ndarray | None = None,
     ) -> ChainCRF:
         """Maximum likelihood with a Gaussian prior, by Adam on the full gradient.
 
         Sequences should be of like, moderate length: they are padded to the longest.
+        ``features`` and ``at`` are as in :meth:`emissions`.
         """
         n_labels, length = len(self.start), np.diff(first)
         longest, rows = int(length.max()), len(length)
@@ -54,11 +70,11 @@ class ChainCRF:
         used, flat = np.unique(features, return_inverse=True)  # sums over used features only
         flat = flat.ravel()
         for step in range(1, rounds + 1):
-            e = self.emissions(features)
+            e = self.emissions(features, at)
             posterior, moves, start = _expected(e, self.moves, self.start, place, valid)
             slope = posterior - truth
             g_w = np.zeros_like(self.weights)
-            slots = features.shape[1]
+            slots = features.shape[1] if at is None else np.diff(at)
             for k in range(n_labels):
                 g_w[used, k] = np.bincount(flat, np.repeat(slope[:, k], slots), len(used))
             g_w[-1] = 0

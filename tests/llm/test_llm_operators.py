@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskloom.llm import embedding, language, licences, line_dedup, minhash, mixing, pieces
 from riskloom.llm import quality_knn, quality_rules, toxicity
 from riskloom.llm.crf import ChainCRF
-from riskloom.llm.text_batches import mix64
+from riskloom.llm.text_batches import mix64, text_bytes
 
 WORDS = "river stone paper cloud green market window yellow garden music train letter summer".split()
 SCHEMA = (
@@ -404,3 +404,59 @@ def test_language(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in rows.values())
     assert language.predictions(empty).count() == 0
     assert language.predict(docs, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
+
+
+def test_language_counts_whole_words_and_unspaced_text(spark):
+    text = "Hello wörld, это тест—да. 你好世界今天天气很好。こんにちは東京タワーへ"
+    data, at = text_bytes(pa.array([text, None, "naïve “quoted” été 한국어 ok"]))
+    start, end, row, length = language.letter_units(data, at)
+    units = [bytes(data[a:b]).decode() for a, b in zip(start, end)]
+    assert units[:6] == ["Hello", "wörld", "это", "тест", "да", "你好世界"]
+    assert units[6:8] == ["今天天气", "很好"] and units[-5:] == ["naïve", "quoted", "été", "한국어", "ok"]
+    assert length.tolist() == [len(u) for u in units] and row.tolist() == [0] * (len(units) - 5) + [2] * 5
+    pattern = re.compile(r"[^\W\d_]+")
+    assert "".join(units) == "".join(pattern.findall(text + " naïve “quoted” été 한국어 ok"))
+
+    words = ["a", "Überwachungsgesetzgebungsverfahren", "не" * 20]
+    data, at = text_bytes(pa.array(words))
+    start, end, *_ = language.letter_units(data, at)
+    features, first = language.word_features(data, start, end, np.arange(3, dtype=np.uint64))
+    for i, word in enumerate(words):
+        low = bytes(data[start[i] : end[i]]).lower()
+        grams = [np.array([(low[j] * 257 + low[j + 1]) * 257 + low[j + 2]], np.uint64) for j in range(len(low) - 2)]
+        mine = Counter(features[first[i] : first[i + 1]].tolist())
+        assert not Counter(int(language._number(g, 40)[0]) for g in grams) - mine
+        assert sum(mine.values()) == 1 + 2 * min(4, len(low)) + len(grams)
+
+    # languages that differ only behind the 12th byte, or behind the first characters of an unspaced text
+    rng = random.Random(1)
+    stem = lambda: "".join(rng.choice("bcdfghklm") + rng.choice("aeiou") for _ in range(8))
+    mid = {"xx": "zork", "yy": "wump"}
+    rows = [
+        (i, " ".join(stem() + mid[x] + stem() for _ in range(20)), x)
+        for i, x in enumerate(["xx", "yy"] * 40)
+    ]
+    han = {"zh": "这个们说来时国", "ja": "のにをはがです"}
+    rows += [
+        (100 + i, "山川" + "".join(rng.choice(han[x]) for _ in range(60)) + "山川", x)
+        for i, x in enumerate(["zh", "ja"] * 40)
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(table)
+    got = {r.doc_id: r.lang_pred for r in language.predict(table, model).collect()}
+    assert all(got[i] == lang for i, _, lang in rows)
+    switch = "".join(rng.choice(han["zh"]) for _ in range(40)) + "".join(rng.choice(han["ja"]) for _ in range(40))
+    mixed = spark.createDataFrame([(1, switch)], "doc_id long, text string")
+    spans = sorted(language.label_spans(mixed, model).collect(), key=lambda r: r.first_word)
+    assert [s.lang for s in spans] == ["zh", "ja"] and abs(spans[1].first_word - 10) <= 1
+
+
+def test_field_on_ragged_features():
+    rng = np.random.default_rng(4)
+    features, labels = rng.integers(0, 30, (40, 5)), rng.integers(0, 3, 40)
+    first, at = np.array([0, 15, 40]), np.arange(0, 201, 5)
+    fixed, ragged = ChainCRF(30, 3), ChainCRF(30, 3)
+    fixed.fit(features, labels, first, rounds=10)
+    ragged.fit(features.ravel(), labels, first, rounds=10, at=at)
+    assert np.allclose(fixed.weights, ragged.weights, atol=1e-4)
+    assert np.allclose(fixed.emissions(features), ragged.emissions(features.ravel(), at), atol=1e-3)
