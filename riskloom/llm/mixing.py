@@ -109,9 +109,10 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 def plan(
     docs: DataFrame, id_col: str, text: str, source: str, seed: int = 9
 ) -> tuple[DataFrame, DataFrame]:
-    """Sized documents (id, source_key, block, size) and their drawn blocks."""
+    """Sized documents (row, id, source_key, block, size; a row number each) and their drawn blocks."""
     spark = docs.sparkSession
     sized = docs.select(
+        F.monotonically_increasing_id().alias("row"),  # fixed by the staged table
         F.col(id_col).alias("doc_id"),
         source_key(F.col(source)).alias("source_key"),
         F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int").alias("block"),
@@ -143,29 +144,12 @@ def plan(
     return sized, stage(drawn, "mix-drawn")
 
 
-def taken_words(docs: DataFrame, id_col="doc_id", text="text", source="source") -> DataFrame:
-    """One row per document: its size, its source's size and target, the words the mix takes."""
-    sized, drawn = plan(docs, id_col, text, source)
-    return sized.join(drawn, ["source_key", "block"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
-    )
-
-
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    shards: int = 64,
-    seed: int = 9,
-    shard_col: str | None = None,
-) -> DataFrame:
-    """The mixed rows, whole documents, each as often as its block is drawn.
+def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int, seed: int) -> DataFrame:
+    """``rows`` (with ``__key``, ``__block``) as often as their blocks are drawn, dealt to ``__shard``.
 
-    One output partition per shard, its rows in random order. ``shard_col`` adds the shard's number.
+    A shard's rows are in one partition, in random order.
     """
-    spark = docs.sparkSession
-    _, drawn = plan(docs, id_col, text, source, seed)
+    spark = rows.sparkSession
     quota = drawn.groupBy("source_key").agg(F.sum("copies").alias("q")).collect()
     quota.sort(key=lambda r: r.source_key)
     split = split_quotas(np.array([r.q for r in quota], np.int64), shards, seed)
@@ -201,16 +185,60 @@ def mix(
             F.size(F.filter("ends", lambda e: e < F.col("nth"))).alias("__shard"),
         )
     )
+    out = rows.join(draws, ["__key", "__block"]).withColumn(
+        "__order", F.xxhash64(F.lit(seed + 1), "__pass", F.col(id_col))
+    )
+    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", id_col)
+
+
+def taken_words(
+    docs: DataFrame, id_col="doc_id", text="text", source="source", shards: int = 64, seed: int = 9
+) -> DataFrame:
+    """One row per document: its size, its source's size and target, the words the mix takes.
+
+    The words are summed over the rows that are really dealt to shards, as :func:`mix` deals them;
+    ids and sizes take the place of the texts.
+    """
+    sized, drawn = plan(docs, id_col, text, source, seed)
+    rows = sized.withColumnsRenamed({"source_key": "__key", "block": "__block"})
+    dealt = deal(rows, drawn, "doc_id", shards, seed)
+    dealt = stage(dealt.select("row", "doc_id", "size", "__shard"), "mix-dealt")
+    taken = dealt.groupBy("row").agg(F.sum("size").alias("taken"))
+    goals = drawn.select("source_key", "source_size", "target").distinct()
+    return (
+        sized.join(taken, "row", "left")
+        .join(F.broadcast(goals), "source_key")
+        .select(
+            "doc_id",
+            "size",
+            "source_size",
+            "target",
+            F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        )
+    )
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    shards: int = 64,
+    seed: int = 9,
+    shard_col: str | None = None,
+) -> DataFrame:
+    """The mixed rows, whole documents, each as often as its block is drawn.
+
+    One output partition per shard, its rows in random order. ``shard_col`` adds the shard's number.
+    """
+    _, drawn = plan(docs, id_col, text, source, seed)
     keyed = docs.withColumns(
         {
             "__key": source_key(F.col(source)),
             "__block": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int"),
         }
     )
-    out = keyed.join(draws, ["__key", "__block"]).withColumn(
-        "__order", F.xxhash64(F.lit(seed + 1), "__pass", F.col(id_col))
-    )
-    out = out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", id_col)
+    out = deal(keyed, drawn, id_col, shards, seed)
     if shard_col:
         return out.select(*docs.columns, F.col("__shard").alias(shard_col))
     return out.select(*docs.columns)

@@ -129,6 +129,28 @@ def test_mix_targets_and_quotas(spark):
         assert abs(r.t - r.target) <= 0.01 * r.target
 
 
+def test_taken_words_count_dealt_rows(spark, docs, monkeypatch):
+    rows = [(i, prose(i, 5 + i % 40), f"s{i % 3}") for i in range(1500)]
+    rows += [(3, rows[3][1], "s0")] * 2 + [(None, prose(9), "s1"), (7, prose(7), None), (8, None, "s2")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(table, shards=8, shard_col="shard").collect()
+    times = Counter((r.doc_id, r.source) for r in mixed)
+    have = Counter((i, s) for i, _, s in rows)
+    expected = Counter((i, len(t.split()), len(t.split()) * times[i, s] // have[i, s])
+                       for i, t, s in ((i, t or "", s) for i, t, s in rows))
+    got = Counter((r.doc_id, r["size"], r.taken) for r in mixing.taken_words(table, shards=8).collect())
+    assert got == expected and min(t for *_, t in got) == 0
+    quotas = Counter(r.shard for r in mixed)
+    assert set(quotas) == set(range(8)) and max(quotas.values()) < 1.5 * min(quotas.values())
+
+    real = mixing.deal  # draws lost in the deal show in what is taken
+    monkeypatch.setattr(mixing, "deal", lambda *a: real(*a).where("__shard <> 0"))
+    short = sum(r.taken for r in mixing.taken_words(table, shards=8).collect())
+    sizes = {(i, s): len((t or "").split()) for i, t, s in rows}
+    lost = sum(sizes[r.doc_id, r.source] for r in mixed if r.shard == 0)
+    assert lost > 0 and short == sum(n * t for (_, _, t), n in expected.items()) - lost
+
+
 def test_minhash_classes(docs, empty, spark):
     got = {r.doc_id: r for r in minhash.classes(docs).collect()}
     assert got[2].class_id == 1 and got[3].class_id == 1 and not got[3].kept
