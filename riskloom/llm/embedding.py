@@ -16,8 +16,8 @@
 The only loss is a link whose list is not probed; recall is measured in the tests.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
-without a label, link with nothing and are kept; vectors of other lengths than the most usual link only with
-equals of their length and label; repeated rows (equal ids) count as one vector per distinct value;
+without a label, link with nothing and are kept; vectors link within their length
+only, each length with an index of its own; repeated rows (equal ids) count as one vector per distinct value;
 a null id links with nothing; an empty table gives an empty result. Only the named columns are
 read, so other columns may have any names.
 """
@@ -243,20 +243,19 @@ def near_duplicates(
         "vector-reps",
     )
     size = reps.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n"))
-    usual = size.orderBy(F.desc("n"), F.desc("d")).first()
     found = spark.createDataFrame([], "node long, weight long, a long, b long")
-    if usual is not None:
-        same = reps.where(F.size("vector") == usual.d)
+    for of in size.where("n > 1").orderBy("d").collect():  # a row per vector length
+        same = reps.where(F.size("vector") == of.d)
         picked = same.orderBy(F.xxhash64(F.lit(7), "rep", "vector")).limit(FIT_ROWS).select("vector")
         sample = _unit(_matrix(picked.toArrow().column("vector")))
-        index = spark.sparkContext.broadcast(fit(sample, usual.n))
+        index = spark.sparkContext.broadcast(fit(sample, of.n))
         schema = (
             "rep long, label string, copies long, vector array<double>, cell int, codes binary,"
             " slack double, probes array<int>"
         )
         rows = same.select("rep", "label", "copies", "vector")
         coded = stage(rows.mapInArrow(_coded(index), schema), "vector-codes")
-        found = stage(_blocks(coded, index, threshold), "vector-links")
+        found = found.unionByName(stage(_blocks(coded, index, threshold), "vector-links"))
     counts = found.where("node is not null").groupBy("node").agg(F.sum("weight").alias("others"))
     joined = components(found.where("a is not null").select("a", "b"))
     of_rep = (

@@ -379,6 +379,21 @@ def test_embeddings(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_every_length(spark):
+    rng, rows = np.random.default_rng(8), []
+    for d, n in ((16, 60), (7, 40), (1, 6), (3, 2), (24, 1)):
+        x = rng.normal(size=(n, d))
+        x[n // 2 :] = x[: n - n // 2] * 3 + 0.01 * rng.normal(size=(n - n // 2, d))
+        rows += [(len(rows) + i, v.tolist(), "l") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in embedding.near_duplicates(df).collect()}
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    for i, u in enumerate(unit):
+        links = [j for j, v in enumerate(unit) if j != i and len(u) == len(v) and u @ v >= 0.93]
+        assert got[i].n_links == len(links), (i, len(u))
+        assert got[i].component_id <= min([i, *links])
+
+
 def test_pieces_round_trip_and_distribution(docs, empty, spark):
     v = pieces.load()
     encoded = pieces.encode(docs, v)
