@@ -144,12 +144,14 @@ def plan(
     return sized, stage(drawn, "mix-drawn")
 
 
-def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int, seed: int) -> DataFrame:
+def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int | None, seed: int) -> DataFrame:
     """``rows`` (with ``__key``, ``__block``) as often as their blocks are drawn, dealt to ``__shard``.
 
-    A shard's rows are in one partition, in random order.
+    Each shard is a partition of its own, its rows in random order; ``shards`` is
+    ``spark.sql.shuffle.partitions`` if it is not given.
     """
     spark = rows.sparkSession
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     quota = drawn.groupBy("source_key").agg(F.sum("copies").alias("q")).collect()
     quota.sort(key=lambda r: r.source_key)
     split = split_quotas(np.array([r.q for r in quota], np.int64), shards, seed)
@@ -188,11 +190,11 @@ def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int, seed: int)
     out = rows.join(draws, ["__key", "__block"]).withColumn(
         "__order", F.xxhash64(F.lit(seed + 1), "__pass", F.col(id_col))
     )
-    return out.repartition(shards, "__shard").sortWithinPartitions("__shard", "__order", id_col)
+    return out.repartitionById(shards, F.col("__shard")).sortWithinPartitions("__shard", "__order", id_col)
 
 
 def taken_words(
-    docs: DataFrame, id_col="doc_id", text="text", source="source", shards: int = 64, seed: int = 9
+    docs: DataFrame, id_col="doc_id", text="text", source="source", shards: int | None = None, seed: int = 9
 ) -> DataFrame:
     """One row per document: its size, its source's size and target, the words the mix takes.
 
@@ -223,7 +225,7 @@ def mix(
     id_col: str = "doc_id",
     text: str = "text",
     source: str = "source",
-    shards: int = 64,
+    shards: int | None = None,
     seed: int = 9,
     shard_col: str | None = None,
 ) -> DataFrame:

@@ -151,6 +151,16 @@ def test_taken_words_count_dealt_rows(spark, docs, monkeypatch):
     assert lost > 0 and short == sum(n * t for (_, _, t), n in expected.items()) - lost
 
 
+def test_mix_has_a_partition_for_each_shard(spark):
+    rows = [(i, prose(i, 5 + i % 40), f"s{i % 3}") for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for shards in (8, 13, None):
+        mixed = mixing.mix(table, shards=shards, shard_col="shard")
+        placed = mixed.select("shard", F.spark_partition_id().alias("p")).distinct().collect()
+        n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert sorted((r.shard, r.p) for r in placed) == [(k, k) for k in range(n)]
+
+
 def test_minhash_classes(docs, empty, spark):
     got = {r.doc_id: r for r in minhash.classes(docs).collect()}
     assert got[2].class_id == 1 and got[3].class_id == 1 and not got[3].kept
