@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm import (
     embedding,
+    hard_negatives,
     language,
     licences,
     line_dedup,
+    merkle,
     minhash,
     mixing,
+    packing,
     pieces,
     quality_knn,
     quality_rules,
@@ -62,6 +65,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_knn": op2_quality_knn,
@@ -73,10 +88,15 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_packing": op11_packing,
+    "op12_merkle": op12_merkle,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE = {
     "op3_line_dedup": line_dedup.ORACLE_SQL,
     "op5_minhash": minhash.ORACLE_SQL,
     "op7_embedding_dedup": embedding.ORACLE_SQL,
+    "op12_merkle": merkle.ORACLE_SQL,
+    "op13_hard_negatives": hard_negatives.ORACLE_SQL,
 }
