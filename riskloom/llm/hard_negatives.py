@@ -19,8 +19,8 @@ whatever the table; every pass reads all candidates.
 Edge cases: rows with a null id, label or vector, or with a null or non-finite component, take no part;
 repeated rows (equal id, label and vector) count once, other rows of one id are rows of their own; rows of
 different lengths are not compared; an anchor without positives, or a positive whose window holds no row,
-gives no rows; scores too large for doubles are reckoned with Python's whole numbers and returned within the
-range of a long; an empty table gives an empty result. Only the named columns are read.
+gives no rows; scores too large for doubles are reckoned with Python's whole numbers (beyond 38 digits they count as
+equal) and returned within the range of a long; an empty table gives an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ TOP = 5
 BLOCK = 8192
 ANCHORS = 20_000
 FIRST_STEP = 8  # rows of each list; every further step is twice as long
+MOST = 10**38 - 1  # of scores reckoned without doubles
 EASE, FULL = 80, 100  # a negative scores at least 80 and at most 100 hundredths of the positive
 
 
@@ -136,7 +137,7 @@ def _scan(shared, exact: bool, same_label: bool, dtype):
             for d in np.unique(size):
                 if int(d) in groups:
                     some = batch.take(pa.array(np.flatnonzero(size == d)))
-                    x = np.asarray(some.column("vector").flatten(), np.float64).reshape(-1, int(d))
+                    x = np.asarray(some.column("vector").flatten(), np.float64).reshape(some.num_rows, int(d))
                     columns = [np.asarray(some.column(c)) for c in ("row", "vec_id", "label")]
                     for low in range(0, len(x), BLOCK):
                         waiting.setdefault(int(d), []).append([c[low : low + BLOCK] for c in (*columns, x)])
@@ -147,14 +148,13 @@ def _scan(shared, exact: bool, same_label: bool, dtype):
         for d, (score, found) in best.items():
             a, w, k = np.nonzero(score > -math.inf)
             if len(a):
-                most = np.iinfo(np.int64).max
-                values = [max(-most, min(most, int(s))) for s in score[a, w, k]]
+                values = [max(-MOST, min(MOST, int(s))) for s in score[a, w, k]]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "anchor": groups[d].row[a],
                         "w": w.astype(np.int32),
                         "found": found[a, w, k],
-                        "score": pa.array(values, pa.int64()),
+                        "score": pa.array(values, pa.int64() if exact else pa.decimal128(38)),
                     }
                 )
 
@@ -167,6 +167,13 @@ def _best(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= TOP)
 
 
+def _as_long(score: Column) -> Column:
+    """The score, or the end of the range of a long that it lies beyond."""
+    most = 2**63 - 1
+    high, low = score.cast("decimal(38,0)") > most, score.cast("decimal(38,0)") < -most
+    return F.when(high, F.lit(most)).when(low, F.lit(-most)).otherwise(score.try_cast("long"))
+
+
 def usable(rows: DataFrame) -> DataFrame:
     """``vec_id, label, vector`` rows that take part, each once."""
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -224,7 +231,7 @@ def mine(
     dealt = good.withColumn("task", F.pmod(F.xxhash64(F.lit(13), "row"), F.lit(tasks)))
     dealt = dealt.repartition(tasks, "task").select("row", "vec_id", "label", "vector")
     passes = math.ceil(n_anchors / anchors_per_pass)
-    found_schema = "anchor long, w int, found long, score long"
+    found_schema = f"anchor long, w int, found long, score {'long' if exact else 'decimal(38,0)'}"
     names = good.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))
     done = []
     for number in range(passes):  # of about ``anchors_per_pass`` rows
@@ -242,7 +249,7 @@ def mine(
         positives = stage(_best(scan(every, True)), "hard-positives")
         windows: dict[int, list] = {}
         for r in positives.orderBy("anchor", "rank").collect():  # TOP a row of the pass at most
-            windows.setdefault(r.anchor, []).append((-(-EASE * r.score // FULL), r.score))
+            windows.setdefault(r.anchor, []).append((-(-EASE * int(r.score) // FULL), int(r.score)))
         negatives = _best(scan(windows, False))
         of = positives.select(
             "anchor",
@@ -250,7 +257,8 @@ def mine(
             F.col("found").alias("positive_id"),
             F.col("score").alias("positive_score"),
         )
-        done.append(negatives.join(of, ["anchor", "w"]).join(names, "anchor"))
+        both = negatives.join(of, ["anchor", "w"]).join(names, "anchor")
+        done.append(both.withColumns({c: _as_long(F.col(c)) for c in ("score", "positive_score")}))
     if not done:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, done).select(
