@@ -2,6 +2,7 @@
 
 from .blocks import BLOCKS
 from .loan_book import REPORTS
+from .models import MODELS
 from .returns import BACKTESTS, PANELS
 
-ORACLE: dict[str, str] = {**REPORTS, **BLOCKS, **PANELS, **BACKTESTS}
+ORACLE: dict[str, str] = {**REPORTS, **BLOCKS, **PANELS, **BACKTESTS, **MODELS}

@@ -229,7 +229,7 @@ def mine(
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(1, min(math.ceil(n / rows_per_task), most))
     dealt = good.withColumn("task", F.pmod(F.xxhash64(F.lit(13), "row"), F.lit(tasks)))
-    dealt = dealt.repartition(tasks, "task").select("row", "vec_id", "label", "vector")
+    dealt = dealt.repartitionById(tasks, F.col("task").cast("int")).select("row", "vec_id", "label", "vector")
     passes = math.ceil(n_anchors / anchors_per_pass)
     found_schema = f"anchor long, w int, found long, score {'long' if exact else 'decimal(38,0)'}"
     names = good.select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"))

@@ -23,6 +23,7 @@ from ..sources import files, schemas
 from ..sources import shared_tables as src
 from . import backtest as bt
 from . import loan_book as lb
+from . import many_targets as mt
 from . import models as ml
 from . import panel as pn
 
@@ -39,6 +40,7 @@ TIMING = {
 EVENT_TARGETS = ["purchase"]
 EVENT_SUPPLIERS = ["click", "error", "signup", "view"]
 NATIONS = [f"N{i:02d}" for i in range(25)]
+MANY_SWEEPS = 2000  # the SQL repeats every one of them
 RETURN_UNIT = 0.01  # activity is far noisier than prices; a hundredth looks like weekly returns
 
 
@@ -584,28 +586,60 @@ def _fit(names, build=event_features):
     return run
 
 
-def _forecasts(name):
+def _forecasts(name, digits=8):
     fitted = _fit([name])
-    return lambda spark, folder: tidy(fitted(spark, folder).predictions)
+    return lambda spark, folder: tidy(fitted(spark, folder).predictions, digits)
 
 
 def _coef_top(spark, folder):
     fit = _fit([ml.ELASTIC_NET])(spark, folder)
-    return tidy(ml.top_coefficients(ml.coefficients(fit, spark)))
+    return tidy(ml.top_coefficients(ml.coefficients(fit, spark)), 6)
+
+
+def _many(build):
+    """Training rows of all targets, their fits, and all rows."""
+
+    def run(spark, folder):
+        rows, features = standard_rows(build, spark, folder)
+        rows = stage(rows, "standardised")
+        train = rows.where("is_train")
+        fits = stage(mt.fit_many_targets(train, features, max_iter=MANY_SWEEPS), "fits")
+        return rows, features, fits
+
+    return run
+
+
+def _many_coefficients(build):
+    def run(spark, folder):
+        _, features, fits = _many(build)(spark, folder)
+        return tidy(mt.coefficient_rows(fits, features), 6)
+
+    return run
+
+
+def _many_forecasts(build):
+    def run(spark, folder):
+        rows, features, fits = _many(build)(spark, folder)
+        done = mt.predict_many(rows.where(~F.col("is_train")), fits, features)
+        return tidy(done.select("target", "date", "pred", F.col("label").alias("actual")), 6)
+
+    return run
 
 
 def _fitted_summary(spark, folder):
-    fit = _fit([ml.ELASTIC_NET, ml.TREE])(spark, folder)
+    fit = _fit(ml.MODEL_ORDER)(spark, folder)
     staged = stage(fit.predictions, "predictions")
     return tidy(bt.model_summary(staged, bt.backtest(staged)))
 
 
 MODELS: dict[str, Query] = {
-    "fit_elastic_net": _forecasts(ml.ELASTIC_NET),
+    "fit_elastic_net": _forecasts(ml.ELASTIC_NET, 6),
     "fit_tree": _forecasts(ml.TREE),
     "fit_gbt": _forecasts(ml.BOOSTING),
     "fit_forest": _forecasts(ml.FOREST),
     "coef_top": _coef_top,
+    "fit_many_targets": _many_coefficients(order_features),
+    "predict_many_targets": _many_forecasts(order_features),
     "fitted_model_summary": _fitted_summary,
 }
 

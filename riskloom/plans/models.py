@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
-    LinearRegression,
+    LinearRegressionModel,
     RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +26,7 @@ from .. import fixed_values as fv
 from ..functions.expr import clean_label
 from ..operators.ranking import two_ended_top
 from ..operators.staging import staging_root
+from .many_targets import fit_many_targets
 
 ELASTIC_NET, TREE = "Elastic Net", "Decision Tree"
 BOOSTING, FOREST = "Gradient Boosting", "Random Forest"
@@ -30,31 +36,29 @@ _COLUMNS = {"featuresCol": "features", "labelCol": "label", "predictionCol": "pr
 
 
 def elastic_net(
-    label_deviation: float,
+    train: DataFrame,
+    features: Sequence[str],
     *,
     alpha: float = fv.ELASTIC_NET["alpha"],
     l1_ratio: float = fv.ELASTIC_NET["l1_ratio"],
     max_iter: int = fv.ELASTIC_NET["max_iter"],
-) -> LinearRegression:
+) -> LinearRegressionModel:
     """Elastic net with the loss ``MSE/2 + alpha*rho*|w|_1 + alpha*(1-rho)/2*|w|^2``.
 
-    Spark scales the label by its deviation while it solves, which divides the weight of the
-    squared term by that deviation. Both penalties are converted so that the stated loss is the
-    one minimised; ``label_deviation`` is the population deviation, as the solver uses it. The
-    normal-equation solver reads the rows once, whatever the number of iterations.
+    The rows are read once, for their second moments; the solver descends by coordinates on these.
+    Spark's own solvers stop early where one feature is a sum of others, as the cross-section mean
+    is, and penalise in units of the label's deviation; the result is Spark's model all the same.
     """
-    l1 = alpha * l1_ratio
-    l2 = alpha * (1.0 - l1_ratio) * label_deviation
-    total = l1 + l2
-    return LinearRegression(
-        regParam=total,
-        elasticNetParam=l1 / total if total else 0.0,
-        standardization=False,
-        solver="normal",
-        maxIter=max_iter,
-        tol=1e-12,
-        **_COLUMNS,
-    )
+    options = {"alpha": alpha, "l1_ratio": l1_ratio, "max_iter": max_iter}
+    one = train.select(F.lit(0).alias("_all"), *features, "label")
+    fit = fit_many_targets(one, features, keys=["_all"], **options).first()
+    if fit is None:
+        raise ValueError("no complete training rows")
+    spark = train.sparkSession
+    weights = _py2java(spark.sparkContext, Vectors.dense(fit.coefs))
+    name = f"linearRegression_{uuid.uuid4().hex[:12]}"
+    made = spark._jvm.org.apache.spark.ml.regression.LinearRegressionModel(name, weights, fit.intercept)
+    return LinearRegressionModel(made).setFeaturesCol("features").setPredictionCol("pred")
 
 
 def decision_tree(max_bins: int = 32) -> DecisionTreeRegressor:
@@ -100,10 +104,7 @@ class Fit:
     predictions: DataFrame
 
 
-def _regressor(name: str, train: DataFrame, rounds: int, trees: int, max_bins: int):
-    if name == ELASTIC_NET:
-        deviation = train.agg(F.stddev_pop("label")).first()[0] or 0.0
-        return elastic_net(deviation)
+def _regressor(name: str, rounds: int, trees: int, max_bins: int):
     if name == TREE:
         return decision_tree(max_bins)
     if name == BOOSTING:
@@ -111,6 +112,13 @@ def _regressor(name: str, train: DataFrame, rounds: int, trees: int, max_bins: i
     return random_forest(trees, max_bins)
 
 
+def _fitted(name: str, train: DataFrame, features: list[str], rounds: int, trees: int, max_bins: int):
+    assembler = VectorAssembler(inputCols=features, outputCol="features")
+    if name == ELASTIC_NET:
+        return PipelineModel([assembler, elastic_net(train, features)])
+    return Pipeline(stages=[assembler, _regressor(name, rounds, trees, max_bins)]).fit(train)
+
+
 def fit_models(
     rows: DataFrame,
     features: Sequence[str],
@@ -119,8 +127,9 @@ def fit_models(
     rounds: int = fv.BOOSTING["rounds"],
     trees: int = fv.FOREST["trees"],
     max_bins: int = 32,
+    at_once: int = 4,
 ) -> Fit:
-    """Fit each model on rows with ``is_train`` and predict the rest.
+    """Fit each model on rows with ``is_train`` and predict the rest, ``at_once`` models side by side.
 
     ``rows`` are standardised feature rows of one target; stage them first, every model reads
     them. Trees bin features: raise ``max_bins`` towards the row count for finer splits.
@@ -129,12 +138,15 @@ def fit_models(
         raise ValueError("rows of several targets: fit each target by itself")
     _checkpoints(rows.sparkSession)
     features = list(features)
-    assembler = VectorAssembler(inputCols=features, outputCol="features")
     train, test = rows.where("is_train"), rows.where(~F.col("is_train"))
-    models, predicted = {}, []
+    fit = inheritable_thread_target(rows.sparkSession)(
+        lambda name: _fitted(name, train, features, rounds, trees, max_bins)
+    )
+    # a model's jobs leave cores idle between its rounds; other models' jobs use them
+    with ThreadPoolExecutor(max_workers=max(1, min(at_once, len(names)))) as pool:
+        models = dict(zip(names, pool.map(fit, names), strict=True))
+    predicted = []
     for name in names:
-        stages = [assembler, _regressor(name, train, rounds, trees, max_bins)]
-        models[name] = Pipeline(stages=stages).fit(train)
         predicted.append(
             models[name]
             .transform(test)
