@@ -400,7 +400,8 @@ def event_panel(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
     """Hourly returns per event type, and the calendar length that bounds each series."""
     prices = stage(src.event_prices(spark, folder), "event-prices")
     calendar = pn.calendar_of(prices, step="1 hour")
-    return pn.log_returns(pn.densify(prices, calendar), bound=calendar.length), calendar.length
+    returns = pn.log_returns(pn.densify(prices, calendar), bound=calendar.length)
+    return stage(returns, "event-returns"), calendar.length
 
 
 def order_panel(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:

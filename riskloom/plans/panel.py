@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,26 +39,37 @@ class Calendar:
         return spark.range(1).select(F.explode(self.dates()).alias("date"))
 
 
-def _micros(span: Column) -> Column:
-    """Microseconds of a day-time interval."""
-    part = lambda unit: F.extract(F.lit(unit), span)
-    whole = (part("DAY").cast("long") * 24 + part("HOUR")) * 60 + part("MINUTE")
-    return whole * 60_000_000 + (part("SECOND") * 1_000_000).cast("long")
+DAY = 86_400_000_000  # microseconds
+
+
+def _micros(date: Column, zero: Column, kind: str) -> Column:
+    """Microseconds from ``zero`` to ``date``, reckoned without a time zone."""
+    days = F.date_diff(date.cast("date"), zero.cast("date")).cast("long") * DAY
+    if kind == "date":
+        return days
+
+    def of_day(t: Column) -> Column:
+        whole = ((F.hour(t) * 60 + F.minute(t)) * 60).cast("long") * 1_000_000
+        return whole + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("long")
+
+    return days + of_day(date) - of_day(zero)
 
 
 def interval_start(date: Column, anchor: Column, step: str, kind: str) -> Column:
     """The last of ``anchor + k * step`` that is not after ``date``; ``step`` has a fixed length.
 
-    Reckoned without a time zone, so a session zone with clock changes does not matter.
+    Whole-number arithmetic without a time zone, so clock changes of a session zone do not matter.
     """
     if kind not in ("date", "timestamp_ntz"):
         raise TypeError(f"calendars are of date or timestamp_ntz, not {kind}")
-    zero = anchor.cast("timestamp_ntz")
-    each = _micros(zero + F.expr(f"interval {step}") - zero)
-    since = _micros(date.cast("timestamp_ntz") - zero)
-    seconds = (since - F.pmod(since, each)).cast("decimal(18,0)") * F.lit(Decimal("0.000001"))
-    none = F.lit(0)
-    return (zero + F.make_dt_interval(none, none, none, seconds.cast("decimal(18,6)"))).cast(kind)
+    zero = anchor.cast(kind)
+    start = F.lit("2000-01-01").cast("timestamp_ntz")
+    each = _micros(start + F.expr(f"interval {step}"), start, "timestamp_ntz")  # a constant
+    since = _micros(date.cast(kind), zero, kind)
+    back = since - F.pmod(since, each)
+    if kind == "date":
+        return F.date_add(zero, F.floor(back / F.lit(DAY)).cast("int"))
+    return zero + F.expr("INTERVAL '0.000001' SECOND") * back
 
 
 def calendar_of(
@@ -89,15 +99,22 @@ def densify(prices: DataFrame, calendar: Calendar, symbols: DataFrame | None = N
     left out.
     """
     names = prices.select("symbol").distinct() if symbols is None else symbols
-    grid = names.withColumn("date", F.explode(calendar.dates()))
+    empty = F.lit(None).cast(prices.schema["price"].dataType)
+    grid = names.withColumn("date", F.explode(calendar.dates())).select(
+        "symbol", "date", F.lit(True).alias("_on"), F.col("date").alias("_at"), empty.alias("price")
+    )
     start = interval_start(F.col("date"), F.lit(calendar.start), calendar.step, calendar.kind)
-    last = (
-        prices.where(F.col("price").isNotNull())
-        .groupBy("symbol", start.alias("_start"))
-        .agg(F.max(F.struct("date", "price"))["price"].alias("price"))
-        .withColumnRenamed("_start", "date")
+    seen = prices.where(F.col("price").isNotNull()).select(
+        "symbol", start.alias("date"), F.lit(False).alias("_on"), F.col("date").alias("_at"), "price"
+    )
+    # one exchange puts the grid and the prices together; only dates of the grid stay
+    last = F.max(F.when(F.col("price").isNotNull(), F.struct("_at", "price")))["price"]
+    both = grid.unionByName(seen).groupBy("symbol", "date")
+    return (
+        both.agg(F.max("_on").alias("_on"), last.alias("price"))
+        .where("_on")
+        .select("symbol", "date", "price")
     )
-    return grid.join(last, ["symbol", "date"], "left").select("symbol", "date", "price")
 
 
 def log_returns(
