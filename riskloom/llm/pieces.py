@@ -11,6 +11,9 @@ every run and in every partitioning. Characters without a piece become byte piec
 Decoding joins the pieces' bytes and drops the one space that encoding puts in front; a literal
 U+2581 is encoded by bytes, so it comes back as it was.
 
+Units of over ``LONG`` bytes go one by one in strips of ``STRIP`` bytes: time follows their length, memory
+the strip.
+
 Edge cases: a null text has null pieces and decodes to null; an empty text is the piece of the space
 in front alone; words of any length are one unit; rows repeated with one id get equal pieces;
 a null id is a key of its own; an empty table gives an empty result. Only the named columns are
@@ -31,9 +34,11 @@ from riskloom.llm.text_batches import LEADS, SpanHasher, map_texts, mix64, span_
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SOFTEN, ALPHA, SEED = 10.0, 1.0, 8
 BYTE_RANK = 1e6
-BLOCK_BYTES = 1 << 20
-SHORT = 9  # bytes
-SLOT_BITS = 18
+BLOCK_BYTES = 1 << 21
+BANDS = (4, 6, 8, 10, 13, 17, 24, 32)  # sizes of units, in bytes
+LONG = BANDS[-1]
+STRIP = 1 << 16  # bytes of a longer unit that are worked on at once
+SLOT_BITS, LIKELY_BITS = 18, 21
 HASHER = SpanHasher(81)
 
 
@@ -50,19 +55,21 @@ class Vocabulary:
     ids: np.ndarray
     slot_at: np.ndarray
     longest: int
+    scale: float  # per byte, see Lattice
+    likely: np.ndarray  # whether any hash begins with these bits: most spans are no pieces
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashed byte strings, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        todo = np.flatnonzero(self.likely[(h >> np.uint64(64 - LIKELY_BITS)).astype(np.int64)])
+        h = h[todo]
         slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         low, high = self.slot_at[slot], self.slot_at[slot + 1]
-        out = np.full(len(h), -1, np.int32)
-        todo = np.flatnonzero(low < high)
         while len(todo):
-            hit = self.hashes[low[todo]] == h[todo]
-            out[todo[hit]] = self.ids[low[todo[hit]]]
-            low[todo] += 1
-            todo = todo[~hit]
-            todo = todo[low[todo] < high[todo]]
+            hit = self.hashes[low] == h
+            out[todo[hit]] = self.ids[low[hit]]
+            more = ~hit & (low + 1 < high)
+            todo, h, low, high = todo[more], h[more], low[more] + 1, high[more]
         return out
 
 
@@ -93,9 +100,11 @@ def load(path: str = MODEL, alpha: float = ALPHA) -> Vocabulary:
     order = np.argsort(h)
     slots = (h[order] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
     slot_at = np.searchsorted(slots, np.arange((1 << SLOT_BITS) + 1))
+    likely = np.zeros(1 << LIKELY_BITS, bool)
+    likely[(h >> np.uint64(64 - LIKELY_BITS)).astype(np.int64)] = True
     return Vocabulary(
         size, first, data, byte_ids, p, h[order], known[order].astype(np.int32), slot_at,
-        int(size[known].max()),
+        int(size[known].max()), float((p[:-1][p[:-1] > 0].min() * p.max()) ** -0.5), likely,
     )
 
 
@@ -121,64 +130,77 @@ def units(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Lattice:
-    """Forward sums over the distinct units of a block; segmentations are drawn from it."""
-
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, size: np.ndarray):
-        v = vocabulary
-        self.first = np.cumsum(size) - size  # of each unit in ``data``
-        offset = np.arange(len(data)) - np.repeat(self.first, size)
-        sums = HASHER.prefix(data)
-        width = int(min(v.longest, size.max()))
-        self.piece = np.full((len(data), width), -1, np.int32)
-        lead = np.append(LEADS[data], True)
-        place = np.arange(len(data))
-        for k in range(width):
-            some = place[(offset >= k) & lead[1:]]
-            some = some[lead[some - k]]
-            self.piece[some, k] = v.find(HASHER.spans(sums, some - k, some + 1))
-        # a character without a piece is spelled by bytes
-        starts = np.flatnonzero(LEADS[data] | (offset == 0))
-        chars = np.diff(np.append(starts, len(data)))
-        last = starts + chars - 1
-        wide = chars > width
-        own = np.where(wide, -1, self.piece[last, np.where(wide, 0, chars - 1)])
-        spelled = np.repeat(own < 0, chars)
-        self.piece[spelled, 0] = v.byte_ids[data[spelled]]
-        weight = v.p[self.piece]  # number -1 (no piece) takes the zero at the end
-        total = np.zeros(len(data) + len(size))  # with a one before each unit
-        base = self.first + np.arange(len(size))
-        total[base] = 1.0
+    """Forward sums over distinct units of at most ``LONG`` bytes; segmentations are drawn from it.
+
+    Tables are laid out by byte offset, units side by side in descending size, so every step works on
+    leading parts of rows. A piece of ``n`` bytes weighs its probability times ``c ** n``: that does not
+    change the distribution, as all ways to an offset have the same bytes, and keeps sums in range.
+    """
+
+    def __init__(self, v: Vocabulary, data: np.ndarray, first: np.ndarray, size: np.ndarray):
         order = np.argsort(-size, kind="stable")
-        active = np.searchsorted(-size[order], -np.arange(1, size.max() + 1), "right")
-        self.below = np.ones((len(data), width), np.float32)
-        back = np.arange(width)
-        for j in range(1, int(size.max()) + 1):
-            who = order[: active[j - 1]]
-            at, here = self.first[who] + j - 1, base[who] + j
-            w = min(j, width)
-            part = np.cumsum(total[here[:, None] - 1 - back[:w]] * weight[at, :w], 1)
-            end = part[:, -1]
-            total[here] = end
-            # only ratios count: scale up the sums that later steps use before they vanish
-            faint = np.flatnonzero((end < 1e-150) & (end > 0))
-            if len(faint):
-                near = here[faint][:, None] - back[:w]
-                total[near] *= 1e150
-            self.below[at, :w] = part / np.where(end > 0, end, 1.0)[:, None]
-        self.size = size
+        self.place = np.empty(len(size), np.int64)
+        self.place[order] = np.arange(len(size))
+        self.size, first = size[order], first[order]
+        n, self.length = len(size), int(self.size[0])
+        width = min(v.longest, self.length)
+        active = np.searchsorted(-self.size, -np.arange(1, self.length + 1), "right")
+        d = np.zeros((self.length, n), np.uint8)
+        sums = np.zeros((self.length + 1, n), np.uint64)
+        HASHER.prefix(np.zeros(self.length + 1, np.uint8))  # powers up to this length
+        power, inverse = HASHER._powers, HASHER._inverses
+        for j, a in enumerate(active):
+            d[j, :a] = data[first[:a] + j]
+            sums[j + 1, :a] = sums[j, :a] + HASHER.code[d[j, :a]] * power[j]
+        lead = np.ones((self.length + 1, n), bool)
+        lead[:-1] = LEADS[d]  # zeros behind a unit lead, as does its end
+        piece = np.full((self.length, width, n), -1, np.int32)
+        for j, a in enumerate(active):
+            ends = np.flatnonzero(lead[j + 1, :a])
+            for k in range(min(j + 1, width)):
+                some = ends[lead[j - k, ends]]
+                h = mix64((sums[j + 1, some] - sums[j - k, some]) * inverse[j - k])
+                piece[j, k, some] = v.find(h)
+        # a character without a piece is spelled by bytes
+        length = np.zeros(n, np.int64)
+        for j, a in enumerate(active):
+            length = np.where(lead[j], 1, length + 1)
+            for m in range(1, min(j + 1, 4) + 1):
+                some = np.flatnonzero(lead[j + 1, :a] & (length[:a] == m))
+                if m <= width:
+                    some = some[piece[j, m - 1, some] < 0]
+                for i in range(j - m + 1, j + 1):
+                    piece[i, 0, some] = v.byte_ids[d[i, some]]
+        total = np.zeros((self.length + 1, n))
+        total[0] = 1.0
+        below = np.ones((self.length, width, n), np.float32)
+        scale = v.scale ** np.arange(1, width + 1)
+        for j, a in enumerate(active):
+            steps = np.zeros((min(j + 1, width), a))
+            for k in range(len(steps)):
+                np.multiply(v.p[piece[j, k, :a]], total[j - k, :a], out=steps[k])
+                steps[k] *= scale[k]
+                if k:
+                    steps[k] += steps[k - 1]
+            end = total[j + 1, :a] = steps[-1]
+            below[j, : len(steps), :a] = steps / np.where(end > 0, end, 1.0)
+        # by unit and offset, for drawing
+        self.below = np.ascontiguousarray(below.transpose(2, 0, 1)).reshape(n * self.length, width)
+        self.piece = np.ascontiguousarray(piece.transpose(2, 0, 1)).reshape(n * self.length, width)
 
     def draw(self, which: np.ndarray, key: np.ndarray, end: np.ndarray):
         """Piece ids of occurrences one after another, and how many each has.
 
         ``which``: unit numbers; ``key``: hashes of the rows; ``end``: byte offsets in the rows.
         """
-        left = self.size[which].copy()
+        which = self.place[which]
+        left, base = self.size[which].copy(), which * self.length - 1
         end = end.astype(np.uint64)
         step, who = [], np.arange(len(which))
         count = np.zeros(len(which), np.int64)
         while len(who):
-            at = self.first[which[who]] + left[who] - 1
-            u = unit(mix64(key[who] + end[who] * np.uint64(0xD1342543DE82EF95)))
+            at = base[who] + left[who]
+            u = chance(key[who], end[who])
             k = (self.below[at] < u[:, None]).sum(1)
             k = np.minimum(k, self.below.shape[1] - 1)
             bad = self.piece[at, k] < 0  # rounding at the upper end
@@ -196,6 +218,96 @@ class Lattice:
         return out, count
 
 
+def chance(key: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The random number of a row at a byte offset."""
+    return unit(mix64(key + end * np.uint64(0xD1342543DE82EF95)))
+
+
+def _steps(v: Vocabulary, data: np.ndarray, low: int, high: int):
+    """Pieces that end at the offsets low + 1 to high of ``data``: first entry of each, length, id, weight."""
+    start = max(0, low - v.longest)
+    part = data[start:high]
+    sums = HASHER.prefix(part)
+    lead = np.append(LEADS[part], True)
+    if high < len(data):
+        lead[-1] = LEADS[data[high]]
+    place = np.arange(low - start, high - start)
+    ends, sizes, ids = [], [], []
+    for k in range(v.longest):
+        some = place[(place >= k) & lead[place + 1]]
+        some = some[lead[some - k]]
+        found = v.find(HASHER.spans(sums, some - k, some + 1))
+        ends.append(some[found >= 0])
+        ids.append(found[found >= 0])
+        sizes.append(np.full(len(ids[-1]), k + 1))
+    # a character without a piece is spelled by bytes
+    chars = np.flatnonzero(lead[:-1])
+    last = np.append(chars[1:], len(part)) - 1
+    end, size = np.concatenate(ends), np.concatenate(sizes)
+    owned = np.zeros(len(part), bool)
+    single = end[size == (end - chars[np.searchsorted(chars, end, "right") - 1] + 1)]
+    owned[single] = True
+    spelled = np.flatnonzero(np.repeat(~owned[last], last - chars + 1)) + chars[0]
+    spelled = spelled[(spelled >= low - start)]
+    end, size = np.append(end, spelled), np.append(size, np.ones(len(spelled), np.int64))
+    ids = np.append(np.concatenate(ids), v.byte_ids[part[spelled]])
+    order = np.lexsort((size, end))
+    end, size, ids = end[order], size[order], ids[order]
+    first = np.searchsorted(end, np.arange(low - start, high - start + 1))
+    return first.tolist(), size.tolist(), ids.tolist(), (v.p[ids] * v.scale**size).tolist()
+
+
+def _sums(table, before: list[float], longest: int) -> tuple[list[float], list[float]]:
+    """The last sums of a strip, and every piece's share of the sum at its end.
+
+    ``before`` holds the sums ahead of the strip. Only ratios count, so the sums that later steps read
+    are scaled together before they leave the range of doubles.
+    """
+    first, size, _, weight = table
+    total, ahead, shares = before.copy(), len(before), []
+    for j in range(len(first) - 1):
+        s = 0.0
+        for i in range(first[j], first[j + 1]):
+            share = total[ahead + j - size[i]] * weight[i]
+            shares.append(share)
+            s += share
+        total.append(s)
+        if not 1e-100 < s < 1e100:
+            for q in range(max(0, len(total) - longest), len(total)):
+                total[q] /= s or 1.0
+    return total[-longest:], shares
+
+
+def draw_long(v: Vocabulary, data: np.ndarray, key: np.uint64, end: int) -> list[int]:
+    """Piece ids of one long unit, strip by strip.
+
+    Forward sums are kept at the strips' starts only; going back, a strip's tables are made again, so
+    memory follows the strip, and time the length.
+    """
+    starts, before = list(range(0, len(data), STRIP)), [[1.0]]
+    for low in starts[:-1]:
+        before.append(_sums(_steps(v, data, low, low + STRIP), before[-1], v.longest)[0])
+    out, left = [], len(data)
+    for low, ahead in zip(starts[::-1], before[::-1]):
+        high = min(low + STRIP, len(data))
+        first, size, ids, _ = table = _steps(v, data, low, high)
+        shares = _sums(table, ahead, v.longest)[1]
+        offsets = np.arange(low + 1, high + 1).astype(np.uint64) + np.uint64(end - len(data))
+        u = chance(key, offsets).tolist()
+        while left > low:
+            j = left - low - 1
+            a, b = first[j], first[j + 1]
+            goal, pick = u[j] * sum(shares[a:b]), b - 1
+            for i in range(a, b):
+                goal -= shares[i]
+                if goal <= 0:
+                    pick = i
+                    break
+            out.append(ids[pick])
+            left -= size[pick]
+    return out[::-1]
+
+
 def sample(v: Vocabulary, column: pa.Array, ids: pa.Array, seed: int = SEED):
     """Piece ids of all rows one after another, and the offsets of the rows."""
     data, at = text_bytes(column)
@@ -213,9 +325,10 @@ def sample(v: Vocabulary, column: pa.Array, ids: pa.Array, seed: int = SEED):
         s, e, r = start[low:to], end[low:to], row[low:to]
         _, one, which = np.unique(span_hashes(data, s, e, HASHER), return_index=True, return_inverse=True)
         size, drawn = (e - s)[one], []
-        for some in (size <= SHORT, size > SHORT):  # short units need narrow tables only
+        for least, most in zip((0, *BANDS), BANDS):  # units of like size share a table
+            some = (size > least) & (size <= most)
             if some.any():
-                lattice = Lattice(v, data[ragged(s[one[some]], size[some])], size[some])
+                lattice = Lattice(v, data, s[one[some]], size[some])
                 mine = np.flatnonzero(some[which])
                 number = np.cumsum(some) - 1
                 out, n_out = lattice.draw(
@@ -223,6 +336,10 @@ def sample(v: Vocabulary, column: pa.Array, ids: pa.Array, seed: int = SEED):
                 )
                 count[low + mine] = n_out
                 drawn.append((mine, out, n_out))
+        for i in np.flatnonzero(e - s > LONG):
+            out = draw_long(v, data[s[i] : e[i]], row_key[r[i]], int(e[i] - at[r[i]]))
+            count[low + i] = len(out)
+            drawn.append((np.array([i]), np.array(out, np.int32), np.array([len(out)])))
         first = np.cumsum(count[low:to]) - count[low:to]
         block = np.empty(int(count[low:to].sum()), np.int32)
         for mine, out, n_out in drawn:
