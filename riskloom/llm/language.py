@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.llm.crf import ChainCRF
-from riskloom.llm.tables import bounded_sample, remainder
+from riskloom.llm.tables import bounded_sample, one_text_each, remainder
 from riskloom.llm.text_batches import (
     LEADS,
     LOWER,
@@ -44,7 +44,7 @@ from riskloom.llm.text_batches import (
 )
 
 FIT_DOCS, RUN, RUNS, MIX = 200, 12, 4, 6  # texts a language; words a run, runs a text, runs a sequence
-MAX_LANGUAGES = 64
+FIT_TOTAL = 100_000  # documents of all languages together, where there are very many
 BITS = 16
 N_FEATURES = 1 << BITS
 AFFIXES, FIT_GRAMS = 4, 128  # bytes; trigrams of a word that are learned from
@@ -218,13 +218,12 @@ def fit(
         & F.col("doc_id").isNotNull()
         & F.col("lang").isNotNull()
     )
-    chosen = bounded_sample(known.select("doc_id", "lang"), "doc_id", "lang", rows_per_language)
-    chosen = chosen.distinct()
-    sample = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    n_languages = known.select(F.count_distinct("lang")).first()[0]
+    each = max(8, min(rows_per_language, FIT_TOTAL // max(1, n_languages)))
+    chosen = bounded_sample(known.select("doc_id", "lang"), "doc_id", "lang", each)
+    sample = one_text_each(known.join(F.broadcast(chosen), ["doc_id", "lang"]), ["doc_id", "lang"])
     rows = map_texts(sample, _runs, "lang string, features array<int>, sizes array<int>").collect()
     names = sorted({r.lang for r in rows})
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not rows:
         return Languages([], ChainCRF(N_FEATURES, 1))
     rows = sorted((r.lang, r.features, r.sizes) for r in rows)

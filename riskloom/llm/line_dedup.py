@@ -260,9 +260,14 @@ def apply_bitmaps(
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without their repeated lines, all columns as they were."""
-    out = apply_bitmaps(docs, keep_bitmaps(docs, id_col, text), id_col, text)
-    return out.select(docs.columns)
+    """The documents without their repeated lines, all columns as they were, whatever their names."""
+    rest = [c for c in docs.columns if c != text]
+    others = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("struct<a:int>")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), others.alias("rest"))
+    out = apply_bitmaps(rows, keep_bitmaps(rows, "doc_id", "text"), "doc_id", "text")
+    return out.select(
+        *[F.col("text").alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    )
 
 
 def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

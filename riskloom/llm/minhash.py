@@ -20,7 +20,7 @@ At likeness 0.8 a pair is missed by all bands with probability 3e-6.
 
 Edge cases: texts without words resemble nothing; texts of fewer than five words are one window;
 rows without an id are compared with nothing and form no class; texts of one id that differ are
-distinct nodes unless linked; repeated rows are copies; an empty table gives an empty result. Only
+distinct nodes, linked or not by what they say; repeated rows are copies; an empty table gives an empty result. Only
 the named columns are read, so other columns may have any names.
 """
 
@@ -124,6 +124,7 @@ def _sketch(part: pa.RecordBatch) -> dict:
     )
     return {
         "doc_id": part.column("doc_id").take(pa.array(where)),
+        "text_key": part.column("text_key").take(pa.array(where)),
         "k1": keys[0][where].view(np.int64),
         "k2": keys[1][where].view(np.int64),
         "n": np.bincount(row, count, n).astype(np.int64)[where],
@@ -133,11 +134,13 @@ def _sketch(part: pa.RecordBatch) -> dict:
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, k1, k2, n, bands, sketch`` of every row with an id and a word."""
+    """``doc_id, text_key, k1, k2, n, bands, sketch`` of every row with an id and a word."""
     rows = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text).alias("text"),
+        F.xxhash64(F.col(text)).alias("text_key"),
     )
-    schema = "doc_id long, k1 long, k2 long, n long, bands array<long>, sketch binary"
+    schema = "doc_id long, text_key long, k1 long, k2 long, n long, bands array<long>, sketch binary"
     return map_texts(rows, _sketch, schema)
 
 
@@ -283,28 +286,36 @@ def _may(x: str, y: str):
     return F.least(x, y) >= THRESHOLD * F.greatest(x, y) - F.lit(1e-9)
 
 
-def links(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Verified links ``a, b`` between copies' representatives that join every class.
+def distinct_texts(found: DataFrame) -> DataFrame:
+    """A node ``rep`` for every word sequence of the staged :func:`sketches`, staged.
 
-    ``docs`` has doc_id and text, ``found`` is the staged :func:`sketches`.
+    ``first`` is the smallest (doc_id, text_key) of its rows. Ids do not name nodes: one id may have
+    several texts.
     """
-    reps = stage(
-        found.groupBy("k1", "k2").agg(
-            F.min("doc_id").alias("rep"),
-            F.first("n").alias("n"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        ),
-        "near-reps",
+    reps = found.groupBy("k1", "k2").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("first"),
+        F.first("n").alias("n"),
+        F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
+    return stage(reps.withColumn("rep", F.monotonically_increasing_id()), "near-reps")
+
+
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Verified links ``a, b`` between nodes that join every class.
+
+    ``docs`` has doc_id and text, ``reps`` is :func:`distinct_texts`.
+    """
     rows = reps.select("rep", "n", F.explode("bands").alias("band"))
     crowded = rows.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     buckets = stage(rows.join(crowded, "band"), "near-buckets")
     weight = buckets.groupBy("rep").agg(F.sum("members").alias("weight"))
     buckets = stage(buckets.join(weight, "rep").drop("members"), "near-weights")
-    ids = weight.select("rep")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(ids, "rep", "left_semi")
-    texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
+    wanted = reps.join(weight.select("rep"), "rep", "left_semi").select(
+        "rep", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")
+    )
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    texts = texts.join(wanted, ["doc_id", "text_key"]).groupBy("rep").agg(F.min("text").alias("text"))
     known = stage(reps.select("rep", "bands", "sketch").join(texts, "rep"), "near-texts")
 
     def stars(members: DataFrame) -> DataFrame:
@@ -369,36 +380,63 @@ def _tiles(members: DataFrame, known: DataFrame) -> DataFrame:
     return full.groupBy("band", "i", "j").applyInArrow(_tile, "a long, b long")
 
 
+def _classed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, class_id, chosen`` of every row of ``docs`` with an id and a word.
+
+    ``chosen`` marks the rows of the smallest (id, text) of each class.
+    """
+    found = stage(sketches(docs), "near-sketches")
+    reps = distinct_texts(found)
+    group = components(links(docs, reps)).withColumnRenamed("node", "rep")
+    placed = reps.select("k1", "k2", "first", "rep").join(group, "rep", "left")
+    placed = stage(placed.withColumn("component", F.coalesce("component", "rep")), "near-groups")
+    head = placed.groupBy("component").agg(F.min("first").alias("head"))
+    of_text = placed.join(head, "component").select("k1", "k2", "head")
+    return found.join(of_text, ["k1", "k2"]).select(
+        "doc_id",
+        "text_key",
+        F.col("head.doc_id").alias("class_id"),
+        (F.col("head") == F.struct("doc_id", "text_key")).alias("chosen"),
+    )
+
+
+def _named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (smallest id of its class), kept.
 
     Rows without an id have no class and are kept; rows without a word are their own class.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = stage(sketches(docs), "near-sketches")
-    joined = components(links(docs, found))
-    reps = found.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    of_rep = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "k1", "k2", F.coalesce("component", "rep").alias("class_id")
-    )
-    with_words = found.select("doc_id", "k1", "k2").join(of_rep, ["k1", "k2"])
+    docs = _named(docs, id_col, text)
     wordless = docs.where(
         F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     ).select("doc_id", F.col("doc_id").alias("class_id"))
     return (
-        with_words.select("doc_id", "class_id")
+        _classed(docs)
+        .select("doc_id", "class_id")
         .unionByName(wordless)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every class, all columns as they were; rows without an id stay."""
-    kept = classes(docs, id_col, text).where("kept").where("doc_id is not null")
-    kept = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull())
-    first = named.join(kept, named[id_col].cast("long") == kept["__kept"], "left_semi")
-    return first.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of every class, all columns as they were; rows without an id or a word stay.
+
+    A class keeps the row of its smallest id, of several texts of that id one; rows of equal id and
+    equal text are one row. The caller's columns travel in one struct, so they may have any names.
+    """
+    gone = _classed(_named(docs, id_col, text)).where("not chosen").select("doc_id", "text_key").distinct()
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.col(text)).alias("text_key"),
+        F.col(text).isNull().alias("no_text"),
+    )
+    named = rows.where("doc_id is not null").join(gone, ["doc_id", "text_key"], "left_anti")
+    named = named.dropDuplicates(["doc_id", "text_key", "no_text"])
+    return named.select("row.*").unionByName(rows.where("doc_id is null").select("row.*"))
 
 
 ORACLE_SQL = r"""

@@ -7,7 +7,7 @@ are split among output shards by a tree: each node gives its left half a multiva
 hypergeometric share of every source's quota, which is how a uniform shuffle of all draws would
 fall. A shard then takes its run of each source's permuted draws and orders its rows by hash.
 
-The driver holds one row per source (``MAX_SOURCES`` at most, else an error), never documents.
+The driver holds one row per source, never documents: shares of a total need all sources at once.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order; rows
 repeated with one id are separate rows of equal hash and share their block; a source without words
@@ -24,10 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.operators.skew import small_enough
 from riskloom.operators.staging import stage
 
 BLOCKS = 4096  # per source; also bounds the rows of one source in one task
-MAX_SOURCES = 100_000
+BROADCAST_ENDS = 1_000_000  # numbers
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -122,9 +123,7 @@ def plan(
     blocks = stage(
         sized.groupBy("source_key", "block").agg(F.sum("size").alias("words")), "mix-blocks"
     )
-    rows = blocks.groupBy("source_key").agg(F.sum("words").alias("w")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = blocks.groupBy("source_key").agg(F.sum("words").alias("w")).collect()
     # "n" sorts before "s...", so the null source is moved to the end
     rows = sorted(rows, key=lambda r: (r.source_key == "n", r.source_key))
     goal = targets([r.w for r in rows])
@@ -137,7 +136,7 @@ def plan(
         " copies long, place long"
     )
     drawn = (
-        blocks.join(F.broadcast(per_source), "source_key")
+        blocks.join(small_enough(per_source, len(rows)), "source_key")
         .groupBy("source_key")
         .applyInPandas(lambda part: draw_blocks(part, seed), schema)
     )
@@ -179,7 +178,7 @@ def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int | None, see
                 (F.col("pass") - 1) * F.col("n_blocks") + F.col("place") + 1,
             ).otherwise(F.col("full") * F.col("n_blocks") + F.col("late")),
         )
-        .join(F.broadcast(ends), "source_key")
+        .join(F.broadcast(ends) if len(quota) * shards <= BROADCAST_ENDS else ends, "source_key")
         .select(
             F.col("source_key").alias("__key"),
             F.col("block").alias("__block"),
@@ -209,7 +208,7 @@ def taken_words(
     goals = drawn.select("source_key", "source_size", "target").distinct()
     return (
         sized.join(taken, "row", "left")
-        .join(F.broadcast(goals), "source_key")
+        .join(goals, "source_key")
         .select(
             "doc_id",
             "size",
@@ -232,15 +231,16 @@ def mix(
     """The mixed rows, whole documents, each as often as its block is drawn.
 
     One output partition per shard, its rows in random order. ``shard_col`` adds the shard's number.
+    The caller's columns travel in one struct, so they may have any names.
     """
     _, drawn = plan(docs, id_col, text, source, seed)
-    keyed = docs.withColumns(
-        {
-            "__key": source_key(F.col(source)),
-            "__block": F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int"),
-        }
+    keyed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.col(id_col).alias("doc_id"),
+        source_key(F.col(source)).alias("__key"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(BLOCKS)).cast("int").alias("__block"),
     )
-    out = deal(keyed, drawn, id_col, shards, seed)
+    out = deal(keyed, drawn, "doc_id", shards, seed)
     if shard_col:
-        return out.select(*docs.columns, F.col("__shard").alias(shard_col))
-    return out.select(*docs.columns)
+        return out.select("row.*", F.col("__shard").alias(shard_col))
+    return out.select("row.*")
