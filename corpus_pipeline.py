@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes it as Parquet to
 the shared staging folder and reads it back as the next stage's ``docs``. All stages but the last
-return the columns of ``documents``.
+return the columns of ``documents``; further columns of any names pass through them.
+
+Edge cases: documents without text or words score 0 and go with the first stage; texts of any length are
+read whole; of rows of equal id and text the third stage keeps one, of differing texts of one id each that
+nothing resembles; rows of a null id pass all stages; ties go to the smallest id (near duplicates) or by
+hash (mixing); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +52,7 @@ STAGES = [
     ("sampled pieces", sampled_pieces),
 ]
 
-ORACLE_SQL = None  # models, signatures and sampling: tests compare the stages with plain versions
+ORACLE_SQL = None  # models, signatures and sampling: tests/llm compares every stage with a plain version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
