@@ -150,3 +150,34 @@ FROM y""",
     "lookup_by_join_split": lines_of("l_quantity"),
     "lookup_by_staged_keys_split": lines_of("l_partkey"),
 }
+
+MONTH = "(year(o_orderdate) * 12 + month(o_orderdate) - 1)"
+
+
+def months(key: str) -> str:
+    frame = f"OVER (PARTITION BY {key} ORDER BY {MONTH} RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)"
+    return f"""
+SELECT o_orderkey, {key}, {MONTH}::INT AS month, {rnd(f'SUM(o_totalprice) {frame}', 2)} AS sum_3,
+       COUNT(o_totalprice) {frame} AS n_3, {rnd(f'MAX(o_totalprice) {frame}', 2)} AS max_3
+FROM orders"""
+
+
+BLOCKS |= {
+    "rolling_months": months("o_custkey"),
+    "rolling_months_split": months("o_orderpriority"),
+    "csv_rejects": """
+SELECT CASE WHEN o_orderkey % 33 = 0 THEN 'number of columns'
+            WHEN o_orderkey % 150 = 0 THEN 'price, day' WHEN o_orderkey % 50 = 0 THEN 'price'
+            WHEN o_orderkey % 75 = 0 THEN 'day' ELSE 'read' END AS outcome,
+       COUNT(*) AS n, SUM(o_orderkey)::BIGINT AS keys
+FROM orders GROUP BY outcome""",
+    "published_read_back": """
+SELECT o_orderstatus, o_orderpriority, COUNT(*) * CASE WHEN o_orderstatus = 'O' THEN 10 ELSE 1 END AS n
+FROM orders GROUP BY o_orderstatus, o_orderpriority""",
+    "distinct_by_month": f"""
+WITH o AS (SELECT DISTINCT o_custkey, {MONTH}::INT AS month FROM orders)
+SELECT m.month, COUNT(DISTINCT CASE WHEN o.month = m.month THEN o_custkey END) AS customers,
+       COUNT(DISTINCT o_custkey) AS half_year, 1::BIGINT AS close, 1::BIGINT AS half_close
+FROM (SELECT DISTINCT month FROM o) m JOIN o ON o.month BETWEEN m.month - 5 AND m.month
+GROUP BY m.month""",
+}

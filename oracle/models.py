@@ -60,6 +60,13 @@ def named(names: list[str]) -> str:
 
 
 MODELS = {
+    "fitted_model_facts": with_tables(
+        {**EVENT_F, **SPLIT},
+        f"""SELECT unnest(['Elastic Net', 'Decision Tree', 'Gradient Boosting', 'Random Forest']) AS model,
+            target, n, actual_sum, date AS first_day, n AS n_inside
+            FROM (SELECT target, COUNT(*) AS n, {rnd('SUM(label)', 6)} AS actual_sum,
+                  strftime(MIN(date), '%Y-%m-%d %H:%M:%S') AS date FROM split WHERE NOT is_train GROUP BY target)""",
+    ),
     "fit_elastic_net": recursive(
         EVENTS,
         f"""SELECT 'Elastic Net' AS model, target, {HOUR}, {rnd('pred', 6)} AS pred,

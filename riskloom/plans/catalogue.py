@@ -11,10 +11,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import BooleanType, DateType, DoubleType, TimestampNTZType
 
 from .. import fixed_values as fv
 from ..functions import expr as e
+from ..operators import by_value as bv
+from ..operators import distinct as dc
 from ..operators import ranking, shares
 from ..operators.ordered import OrderedRows
 from ..operators.skew import HOT_ROWS, lookup_join
@@ -169,6 +172,72 @@ def _csv_round_trip(spark, folder):
     )
 
 
+def _csv_rejects(spark, folder):
+    """Orders as CSV lines, of which some have a bad amount, a bad day or too few columns; what was read."""
+    key, path = F.col("o_orderkey"), new_path(spark, "csv")
+    price = F.when(key % 50 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string"))
+    day = F.when(key % 75 == 0, F.lit("soon")).otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    line = F.when(key % 33 == 0, key.cast("string")).otherwise(F.concat_ws(",", key, price, day))
+    _orders(spark, folder).select(line.alias("line")).write.text(path)
+    schema = T.StructType.fromDDL("key bigint, price double, day date")
+    good, rejects = files.read_csv_rejects(spark, path, schema, header=False)
+    kept = good.select(F.lit("read").alias("outcome"), F.col("key"))
+    lost = rejects.select("reason", F.substring_index("line", ",", 1).cast("long"))
+    return kept.union(lost).groupBy("outcome").agg(F.count("*").alias("n"), F.sum("key").alias("keys"))
+
+
+def _published(spark, folder):
+    """Order counts by status, published, then those of one status published anew; what is shown."""
+    path = new_path(spark, "published")
+    counts = _orders(spark, folder).groupBy("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"))
+    files.publish(counts, path, partition="o_orderstatus")
+    again = counts.where("o_orderstatus = 'O'").withColumn("n", F.col("n") * 10)
+    files.publish(again, path, partition="o_orderstatus")
+    return files.read_published(spark, path)
+
+
+def _rolling_months(spark, folder, key="o_custkey", hot_rows=HOT_ROWS):
+    """Sums over three calendar months, whether each of them has orders or not."""
+    month = bv.month_number(F.col("o_orderdate")).alias("month")
+    orders = _orders(spark, folder).select("o_orderkey", key, month, "o_totalprice")
+    price = F.col("o_totalprice")
+    columns = {
+        "sum_3": lambda w: F.sum(price).over(w),
+        "n_3": lambda w: F.count(price).over(w),
+        "max_3": lambda w: F.max(price).over(w),
+    }
+    done = bv.within(orders, [key], "month", columns, back=2, hot_rows=hot_rows)
+    return tidy(done.drop("o_totalprice"), 2)
+
+
+def _distinct_by_month(spark, folder):
+    """Distinct customers of each month and of the half-year to it: exact, and whether sketches are close."""
+    month = bv.month_number(F.col("o_orderdate")).alias("month")
+    orders = _orders(spark, folder).select("o_custkey", month)
+    sketches = stage(dc.distinct_sketches(orders, ["month"], "o_custkey"), "sketches")
+    half = dc.rolling_distinct(sketches, [], "month", 5)
+    spread = orders.distinct().select("o_custkey", F.explode(F.sequence("month", F.col("month") + 5)).alias("month"))
+    exact = orders.groupBy("month").agg(F.count_distinct("o_custkey").alias("customers"))
+    exact_half = spread.groupBy("month").agg(F.count_distinct("o_custkey").alias("half_year"))
+    share = F.lit(4 * dc.standard_error())
+
+    def close(name, sketch):
+        return (F.abs(dc.estimate(sketch) - F.col(name)) <= F.col(name) * share + 1).cast("long")
+
+    return (
+        exact.join(exact_half, "month")
+        .join(sketches, "month")
+        .join(half.withColumnRenamed("sketch", "half"), "month")
+        .select(
+            "month",
+            "customers",
+            "half_year",
+            close("customers", "sketch").alias("close"),
+            close("half_year", "half").alias("half_close"),
+        )
+    )
+
+
 def _band_count(spark, folder):
     cuts = [(0.0, "negative"), (2500.0, "low"), (5000.0, "middle"), (7500.0, "high")]
     label = e.band("c_acctbal", cuts, "top")
@@ -353,6 +422,10 @@ def _business_order(spark, folder):
 
 BLOCKS: dict[str, Query] = {
     "csv_round_trip": _csv_round_trip,
+    "csv_rejects": _csv_rejects,
+    "published_read_back": _published,
+    "distinct_by_month": _distinct_by_month,
+    "rolling_months": _rolling_months,
     "band_count": _band_count,
     "tier_count": _tier_count,
     "business_order": _business_order,
@@ -377,6 +450,7 @@ BLOCKS: dict[str, Query] = {
 # the same steps where groups are divided: the way that hot keys take at scale
 BY_PRIORITY = {"key": "o_orderpriority", "hot_rows": SPLIT_ROWS}
 BLOCKS |= {
+    "rolling_months_split": partial(_rolling_months, **BY_PRIORITY),
     "running_total_split": partial(_running, **BY_PRIORITY),
     "rolling_windows_split": partial(_rolling, **BY_PRIORITY),
     "lag_change_split": partial(_lag_change, **BY_PRIORITY),
@@ -633,7 +707,28 @@ def _fitted_summary(spark, folder):
     return tidy(bt.model_summary(staged, bt.backtest(staged)))
 
 
+def _fitted_facts(spark, folder):
+    """What must hold of any forecasts: rows, outcomes, and no forecast far outside the known labels."""
+    rows, features = standard_rows(event_features, spark, folder)
+    rows = stage(rows, "standardised")
+    fit = ml.fit_models(rows, features, ml.MODEL_ORDER, rounds=20, trees=20)
+    known = rows.where("is_train").groupBy("target").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    room = F.when(F.col("model").isin(ml.TREE, ml.FOREST), 0.0).otherwise(F.col("hi") - F.col("lo"))
+    inside = F.col("pred").between(F.col("lo") - room - 1e-9, F.col("hi") + room + 1e-9)
+    done = fit.predictions.join(known, "target").groupBy("model", "target")
+    return tidy(
+        done.agg(
+            F.count("*").alias("n"),
+            F.sum("actual").alias("actual_sum"),
+            F.min("date").alias("first_day"),
+            F.count_if(inside).alias("n_inside"),
+        ),
+        6,
+    )
+
+
 MODELS: dict[str, Query] = {
+    "fitted_model_facts": _fitted_facts,
     "fit_elastic_net": _forecasts(ml.ELASTIC_NET, 6),
     "fit_tree": _forecasts(ml.TREE),
     "fit_gbt": _forecasts(ml.BOOSTING),
