@@ -26,7 +26,7 @@ named columns are read, so other columns may have any names.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from pathlib import Path
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +44,10 @@ from riskloom.llm.text_batches import (
 )
 from riskloom.operators.staging import stage
 
-TEXTS = {
-    p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))
+TEXTS = {  # also where the package is a zip file on an executor
+    p.name.removesuffix(".txt"): p.read_text(encoding="utf-8")
+    for p in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda p: p.name)
+    if p.name.endswith(".txt")
 }
 #: What licences are called in notices, by licence name.
 CALLED = {
