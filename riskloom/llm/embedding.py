@@ -6,14 +6,19 @@
    vectors (half its square root, 16 to 4096).
 3. Every vector is put in the list of its best centroid, with its residual's codes and the distance
    between the vector and its code (``slack``).
-4. A vector probes every list whose centroid is at most ``MARGIN`` of cosine worse than its best
-   one. Of two vectors the smaller id probes for the larger, so a pair is judged once.
+4. A vector ``x`` of list ``a`` probes list ``b`` where ``x.a - x.b <= share * reach * |a - b| / 2``;
+   ``reach`` is the largest distance of linked unit vectors. For a link ``x, y`` between the lists the
+   two gaps add up to ``(x - y).(a - b)``, which is at most ``reach * |a - b|``; so with a share of 1 one of
+   the two vectors probes the other's list, and no link is lost. The residuals of a sample tell in how many
+   directions they spread; differences rarely lie along one of many, so the share is ``SPREAD`` over the
+   root of that number where this is below 1. Where both vectors probe, the smaller id does, so a
+   pair is judged once.
 5. Lists and probes meet in blocks of ``CHUNK`` by ``CHUNK`` rows. Table-lookup distances to the codes
    are compared with the distance that the threshold allows plus the slack, which by the triangle
    inequality drops no link; what is left is ranked by exact cosine in double precision.
 6. A block returns counts of links per vector and links that join components, never all pairs.
 
-The only loss is a link whose list is not probed; recall is measured in the tests.
+The only loss is a link of which neither vector probes the other's list; recall is measured in the tests.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows
 without a label, link with nothing and are kept; vectors link within their length
@@ -28,8 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from riskloom.llm.components import components
 from riskloom.operators.staging import stage
@@ -37,7 +44,7 @@ from riskloom.operators.staging import stage
 THRESHOLD = 0.93
 FIT_ROWS = 20_000
 PARTS, CODES = 8, 256
-MARGIN = 0.25
+SPREAD = 4.5  # standard deviations of a difference along one direction that probes allow for
 CHUNK = 1024
 ROUNDS = 8
 
@@ -47,6 +54,7 @@ class Index:
     centroids: np.ndarray  # lists x dimensions, unit length
     codebook: np.ndarray  # parts x codes x dimensions of a part
     cuts: np.ndarray  # of the dimensions into parts
+    gaps: np.ndarray  # lists x lists, how much worse a probed list may be than a vector's own
 
     def encode(self, x: np.ndarray):
         """List, codes and slack of unit vectors."""
@@ -61,10 +69,11 @@ class Index:
             error += np.maximum(gap.min(1), 0)
         return near, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
+    def probes(self, x: np.ndarray, near: np.ndarray) -> list[np.ndarray]:
+        """Lists to search for each row, its own (``near``) among them."""
         cosine = x @ self.centroids.T
-        worst = cosine.max(1) - MARGIN
-        return [np.flatnonzero(c >= w).astype(np.int32) for c, w in zip(cosine, worst)]
+        worse = cosine[np.arange(len(x)), near][:, None] - cosine
+        return [np.flatnonzero(some).astype(np.int32) for some in worse <= self.gaps[near]]
 
     def tables(self, x: np.ndarray, cell: int) -> np.ndarray:
         """(rows, parts, codes) squared distances of the rows' residuals in a list to every code."""
@@ -92,10 +101,19 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, unit: bool) -> np.n
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    # a power of two changes no digit and keeps squares of very large and very small numbers in range
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def fit(sample: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
+def _share(rest: np.ndarray, spread: float) -> float:
+    """Part of the certain gap that is allowed, by the number of directions in which residuals spread."""
+    variance = np.linalg.eigvalsh(rest.T @ rest)
+    directions = variance.sum() ** 2 / max((variance**2).sum(), 1e-300)
+    return min(1.0, spread / np.sqrt(max(directions, 1.0)))
+
+
+def fit(sample: np.ndarray, n_vectors: int, threshold: float, spread: float = SPREAD, seed: int = 7) -> Index:
     rng = np.random.default_rng(seed)
     lists = int(min(max(16, np.sqrt(n_vectors) / 2), 4096, max(1, len(sample))))
     dims = sample.shape[1]
@@ -104,7 +122,14 @@ def fit(sample: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
     rest = sample - centroids[(sample @ centroids.T).argmax(1)]
     some = rest[rng.permutation(len(rest))[:8192]]
     books = [_kmeans(some[:, a:b], min(CODES, len(some)), rng, False) for a, b in zip(cuts, cuts[1:])]
-    return Index(centroids, books, cuts)
+    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))
+    gaps = _share(rest, spread) * _reach(threshold) * apart / 2 + 1e-9
+    return Index(centroids, books, cuts, gaps)
+
+
+def _reach(threshold: float) -> float:
+    """Largest distance of two unit vectors that are linked."""
+    return np.sqrt(max(0.0, 2 - 2 * threshold))
 
 
 def _matrix(column) -> np.ndarray:
@@ -129,7 +154,7 @@ def _coded(index):
                         "cell": near.astype(np.int32),
                         "codes": pa.array([c.tobytes() for c in codes], pa.binary()),
                         "slack": slack,
-                        "probes": pa.array(index.value.probes(x), pa.list_(pa.int32())),
+                        "probes": pa.array(index.value.probes(x, near), pa.list_(pa.int32())),
                     }
                 )
 
@@ -151,15 +176,18 @@ def _block(index, threshold: float):
         n_q, n_y = np.asarray(probing.column("copies")), np.asarray(listed.column("y_copies"))
         codes = np.frombuffer(b"".join(listed.column("codes").to_pylist()), np.uint8)
         codes = codes.reshape(len(y), -1).astype(np.int64)
-        reach = np.sqrt(max(0.0, 2 - 2 * threshold))
-        limit = (reach + np.asarray(listed.column("slack"))) ** 2 + 1e-5
+        limit = (_reach(threshold) + np.asarray(listed.column("slack"))) ** 2 + 1e-5
+        home, lists = np.asarray(probing.column("home")).astype(np.int64), len(index.value.centroids)
+        back = listed.column("y_probes").combine_chunks()  # lists that the listed rows probe themselves
+        searched = np.repeat(np.arange(len(y)), pa.compute.list_value_length(back)) * lists
+        searched = searched + np.asarray(back.flatten())
         left, right = [], []
         for low in range(0, len(q), 128):
             tables = index.value.tables(q[low : low + 128], cell)
             far = np.zeros((len(tables), len(y)), np.float32)
             for p in range(codes.shape[1]):
                 far += tables[:, p][:, codes[:, p]]
-            i, j = np.nonzero((far <= limit) & (rep_q[low : low + 128, None] < rep_y))
+            i, j = np.nonzero(far <= limit)
             left.append(i + low)
             right.append(j)
         left, right = np.concatenate(left), np.concatenate(right)
@@ -168,6 +196,9 @@ def _block(index, threshold: float):
             some = slice(low, low + 65536)
             sure[some] = np.einsum("ij,ij->i", q[left[some]], y[right[some]]) >= threshold
         left, right = left[sure], right[sure]
+        mine = rep_q[left] < rep_y[right]  # a listed row of a larger id is this row's to find; one of a smaller id
+        mine |= (rep_q[left] != rep_y[right]) & ~np.isin(right * lists + home[left], searched)  # only if it does not look here
+        left, right = left[mine], right[mine]
         weight_q = np.bincount(left, n_y[right], len(q)).astype(np.int64)
         weight_y = np.bincount(right, n_q[left], len(y)).astype(np.int64)
         joined = _forest(left, right, len(q), len(y))
@@ -212,10 +243,12 @@ def _forest(left: np.ndarray, right: np.ndarray, n_left: int, n_right: int) -> n
 
 def vectors(df: DataFrame, id_col: str, vector: str, label: str) -> DataFrame:
     """``vec_id, label, vector`` of rows that can link."""
+    narrow = df.select(vector).schema[0].dataType == ArrayType(FloatType())
+    kind = "array<float>" if narrow else "array<double>"  # floats travel as floats and are compared as doubles
     rows = df.select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(label).cast("string").alias("label"),
-        F.col(vector).cast("array<double>").alias("vector"),
+        F.col(vector).cast(kind).alias("vector"),
     )
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.where(
@@ -248,9 +281,10 @@ def near_duplicates(
         same = reps.where(F.size("vector") == of.d)
         picked = same.orderBy(F.xxhash64(F.lit(7), "rep", "vector")).limit(FIT_ROWS).select("vector")
         sample = _unit(_matrix(picked.toArrow().column("vector")))
-        index = spark.sparkContext.broadcast(fit(sample, of.n))
+        index = spark.sparkContext.broadcast(fit(sample, of.n, threshold))
+        kind = reps.schema["vector"].dataType.simpleString()
         schema = (
-            "rep long, label string, copies long, vector array<double>, cell int, codes binary,"
+            f"rep long, label string, copies long, vector {kind}, cell int, codes binary,"
             " slack double, probes array<int>"
         )
         rows = same.select("rep", "label", "copies", "vector")
@@ -287,9 +321,11 @@ def near_duplicates(
 
 def _blocks(coded: DataFrame, index, threshold: float) -> DataFrame:
     """Lists and probes dealt into blocks that meet pairwise."""
-    probing = coded.select("rep", "label", "copies", "vector", F.explode("probes").alias("cell"))
-    listed = coded.select("rep", "label", "copies", "vector", "cell", "codes", "slack").toDF(
-        "y_rep", "y_label", "y_copies", "y_vector", "y_cell", "codes", "slack"
+    probing = coded.select(
+        "rep", "label", "copies", "vector", F.col("cell").alias("home"), F.explode("probes").alias("cell")
+    )
+    listed = coded.select("rep", "label", "copies", "vector", "cell", "codes", "slack", "probes").toDF(
+        "y_rep", "y_label", "y_copies", "y_vector", "y_cell", "codes", "slack", "y_probes"
     )  # names of their own: both sides of the meeting come from one table
     n_listed = coded.groupBy("label", "cell").agg(F.count("*").alias("n_y"))
     n_probing = probing.groupBy("label", "cell").agg(F.count("*").alias("n_q"))

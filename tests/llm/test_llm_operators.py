@@ -404,6 +404,48 @@ def test_embeddings_of_every_length(spark):
         assert got[i].component_id <= min([i, *links])
 
 
+def _plain_links(x: np.ndarray, threshold: float = embedding.THRESHOLD) -> np.ndarray:
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = unit @ unit.T >= threshold
+    np.fill_diagonal(links, False)
+    return links.sum(1)
+
+
+@pytest.mark.parametrize("shift", [0.0, 1.0])
+def test_embeddings_between_lists(spark, shift):
+    """Links whose ends are in different lists are found, once, also where they all point one way."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(700, 24))
+    away = rng.normal(size=(700, 24)) * (1 - shift) + shift * 3 * np.eye(24)[0]
+    x = np.concatenate((base, base + 0.3 * away)).astype("f4").astype(float)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in embedding.near_duplicates(df).collect()}
+    want = _plain_links(x)
+    assert want.sum() > 200 and max(got[i] - n for i, n in enumerate(want)) == 0  # no link twice
+    assert sum(got.values()) >= 0.99 * want.sum()
+
+
+def test_embedding_probes_are_certain_at_full_share():
+    rng = np.random.default_rng(12)
+    x = embedding._unit(rng.normal(size=(1500, 6)))  # few directions: the share is 1
+    index = embedding.fit(x, 40_000, 0.93)
+    near = index.encode(x)[0]
+    probes = index.probes(x, near)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(i) > 1000 and (near[i] != near[j]).any()
+    assert all(near[b] in probes[a] or near[a] in probes[b] for a, b in zip(i, j))
+    few = embedding.fit(x, 40_000, 0.93, spread=0.2)
+    assert sum(map(len, few.probes(x, near))) < sum(map(len, probes))
+
+
+def test_embeddings_of_any_size_of_number(spark):
+    one, two = [1e200, 2e200, 0.0], [1.0, 2.0, 0.0]
+    rows = [(1, one, 1), (2, two, 1), (3, [1e-200, 2e-200, 0.0], 1), (4, [0.0, 0.0, 5e-324], 1), (5, [0.0, 0.0, 9.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_duplicates(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_pieces_round_trip_and_distribution(docs, empty, spark):
     v = pieces.load()
     encoded = pieces.encode(docs, v)
