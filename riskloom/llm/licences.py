@@ -4,10 +4,13 @@ Templates are one-line notices, usual file headers and whole licence texts (``li
 are lower-cased runs of letters, digits and dots. Document frequencies of the templates' terms
 are counted over all texts (terms outside the templates weigh as much as the rarest one). Each line
 and each whole file is compared with every template, and blocks of neighbouring lines (lines without
-terms, such as bare comment marks, do not count) with the templates of up to ``BLOCK_TERMS`` terms:
-from every line on, the blocks of about the template's length. A pair is skipped only where a bound on
+terms, such as bare comment marks, do not count) with every template: from every line on, the blocks of
+about the template's length; for templates of over ``BLOCK_TERMS`` terms from the first line after every
+``STEP``-th part of the template's length on, which shifts a block by less than that part. A pair is skipped
+only where a bound on
 its cosine is below the threshold: the numerator is a sum over terms, and a block's norm is at least
-the root of its summed squared weights. Notices must hold the licence's name whole. ``SPDX-License-Identifier`` tags are read by their names.
+the root of its summed squared weights; and no block of a file is nearer to a template than the root of the
+squared weights (of the template, of norm 1) of those terms that the file holds at all. Notices must hold the licence's name whole. ``SPDX-License-Identifier`` tags are read by their names.
 
 A file that is named as a licence file, or whose whole text is like
 a template, declares that licence for its directory (on demand also one whose first line, or a block
@@ -166,7 +169,9 @@ TEMPLATES = {
     for name in sorted({*CALLED, *TEXTS})
 }
 SPDX_NAMES = sorted(set(TEMPLATES) - NO_VERSION)
-BLOCK_TERMS = 400  # longest template that is looked for inside files; longer ones are compared with whole files
+BLOCK_TERMS = 400  # longest template of which blocks begin at every line; longer ones begin at every STEP-th part
+STEP = 20
+LONG_SIZES = (0.75, 0.875, 1.0, 1.125, 1.3)  # lengths of blocks against that of a long template
 BLOCK_SIZES = np.unique(np.round(3 * 1.2 ** np.arange(30)).astype(int))
 NOTICE_CHARS = 200  # longest notice
 CHUNK_TERMS = 1 << 20  # terms of blocks that are compared at once
@@ -297,6 +302,7 @@ def _alike(t: Templates, term: np.ndarray, first: np.ndarray, rows: np.ndarray):
     norm = np.concatenate(([0.0], np.cumsum(weight * weight)))[first]
     last = rows[np.searchsorted(rows, np.arange(n), "right")]
     ends = {}
+    held = np.unique((np.searchsorted(rows, line, "right") - 1) * len(t.terms) + part)  # terms of every file
     few = brief[part]
     brief_line, brief_part = line[few], part[few]
     begin, end = [], []
@@ -313,6 +319,18 @@ def _alike(t: Templates, term: np.ndarray, first: np.ndarray, rows: np.ndarray):
                     ends[m] = np.minimum(to, last)
                 some = start[ends[m][start] > start + 1]
                 tries.append((some, ends[m][some]))
+        else:
+            squares = np.zeros(len(t.terms))
+            squares[t.term[t.at[k] : t.at[k + 1]]] = t.value[t.at[k] : t.at[k + 1]] ** 2
+            mass = np.bincount(held // len(t.terms), squares[held % len(t.terms)], len(rows) - 1)
+            likely = np.flatnonzero(mass >= (MIN_COSINE - 1e-6) ** 2)
+            for low, high in zip(first[rows[likely]], first[rows[likely + 1]]):
+                every = np.unique(np.searchsorted(first, np.arange(low, high, t.size[k] // STEP)))
+                every = every[first[every] < high]
+                for m in np.round(t.size[k] * np.array(LONG_SIZES)).astype(int):
+                    to = np.minimum(np.searchsorted(first, first[every] + m, "right") - 1, last[every])
+                    some = to > every + 1
+                    tries.append((every[some], to[some]))
         for i, j in tries:
             reach = sums[j] - sums[i]
             may = reach * reach >= (MIN_COSINE - 1e-6) ** 2 * (norm[j] - norm[i])

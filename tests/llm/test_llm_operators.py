@@ -404,6 +404,47 @@ def test_embeddings_of_every_length(spark):
         assert got[i].component_id <= min([i, *links])
 
 
+@pytest.mark.parametrize("times", [0.5, 2, 10])
+def test_long_licence_texts_inside_files(times):
+    """Bodies without title or notice among other text, and no licence in that text alone."""
+    t = licences.Templates(licences.TEMPLATES)
+    rng = random.Random(9)
+    usual = licences._terms(pa.array([" ".join("the of and to a in that is for by on or as with this be are".split())]))[0]
+    df = np.where(np.isin(t.terms, usual), 900.0, np.random.default_rng(9).integers(0, 30, len(t.terms)))
+    t.weigh(df, 1000)
+    names, texts = ["CC0-1.0", "Apache-2.0", "MPL-1.1", "GPL-2.0", "LGPL-2.1"], []
+    for name in names:
+        body = licences.TEXTS[name].split("\n")
+        lines = int(times * sum(len(x.split()) for x in body) / 8 / 2)
+        around = ["\n".join(" ".join(["the of", *rng.choices(WORDS, k=6)]) for _ in range(lines)) for _ in range(2)]
+        texts += ["\n".join([around[0], *body[6:], around[1]]), "\n".join(around)]
+    n = len(texts)
+    part = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "path": pa.nulls(n, pa.string()), "text": texts})
+    assert licences._scan(t, False)(part)["header"].to_pylist() == [x for name in names for x in (name, None)]
+
+
+def test_no_block_passes_the_bound_of_its_file():
+    """A file is left out for a long template only if none of its blocks of lines is near enough."""
+    t = licences.Templates({n: licences.TEXTS[n] for n in ("CC0-1.0", "Apache-2.0", "GPL-2.0")})
+    t.weigh(np.ones(len(t.terms)), 1000)
+    rng = random.Random(10)
+    near = 0
+    for name in t.names:
+        body = licences.TEXTS[name].split("\n")
+        for share in (0.2, 0.5, 0.8, 1.0):
+            kept = [x for x in body if rng.random() < share] + [prose(i) for i in range(20)]
+            blocks = ["\n".join(kept[a:b]) for a in range(0, len(kept), 9) for b in range(a + 1, len(kept) + 1, 9)]
+            h, unit, *_ = licences._terms(pa.array(blocks))
+            cosine = t.cosines(h, unit, len(blocks)).max(0)
+            term = np.unique(t.place(licences._terms(pa.array(["\n".join(kept)]))[0]))
+            for k in range(len(t.names)):
+                some = slice(t.at[k], t.at[k + 1])
+                mass = (t.value[some] ** 2)[np.isin(t.term[some], term)].sum()
+                assert cosine[k] <= np.sqrt(mass) + 1e-9
+                near += cosine[k] >= licences.MIN_COSINE
+    assert near >= 3
+
+
 def _plain_links(x: np.ndarray, threshold: float = embedding.THRESHOLD) -> np.ndarray:
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     links = unit @ unit.T >= threshold
