@@ -47,6 +47,7 @@ PARTS, CODES = 8, 256
 SPREAD = 4.5  # standard deviations of a difference along one direction that probes allow for
 CHUNK = 1024
 ROUNDS = 8
+SMALL_LISTS = 50_000  # lists (of a label) whose sizes are sent to all executors; more are joined
 
 
 @dataclass
@@ -335,12 +336,14 @@ def _blocks(coded: DataFrame, index, threshold: float) -> DataFrame:
         F.ceil(F.col("n_y") / CHUNK).cast("int").alias("k_y"),
         F.ceil(F.col("n_q") / CHUNK).cast("int").alias("k_q"),
     )
+    parts = stage(parts, "vector-lists")
+    few = parts.count() <= SMALL_LISTS  # rows of a label and three whole numbers
 
     def dealt(rows: DataFrame, side: str, own: str, other: str, i: str, j: str) -> DataFrame:
         keys = parts.select(
             F.col("label").alias(f"{side}label"), F.col("cell").alias(f"{side}cell"), "k_y", "k_q"
         )
-        return rows.join(keys, [f"{side}label", f"{side}cell"]).select(
+        return rows.join(F.broadcast(keys) if few else keys, [f"{side}label", f"{side}cell"]).select(
             *rows.columns,
             F.pmod(F.xxhash64(F.lit(3), f"{side}rep"), F.col(own)).cast("int").alias(i),
             F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(j),
