@@ -181,3 +181,18 @@ SELECT m.month, COUNT(DISTINCT CASE WHEN o.month = m.month THEN o_custkey END) A
 FROM (SELECT DISTINCT month FROM o) m JOIN o ON o.month BETWEEN m.month - 5 AND m.month
 GROUP BY m.month""",
 }
+
+# both groupings of the pass that feeds the reports of sums
+BLOCKS["book_sums"] = with_tables(
+    TABLES,
+    f"""
+SELECT IF(GROUPING(customer_id) = 1, 'kind', 'borrower') AS sums_by, loan_purpose, loan_status,
+       strftime(month_of, '%Y-%m') AS month, customer_id, year_of AS year,
+       COUNT(*) AS n, COUNT(*) FILTER (bad) AS n_bad,
+       {rnd('SUM(loan_amount)', 4)} AS amount_sum, COUNT(loan_amount) AS amount_n,
+       {rnd('SUM(interest_rate)', 4)} AS rate_sum, COUNT(interest_rate) AS rate_n,
+       {rnd('SUM(outstanding_balance)', 4)} AS balance_sum, COUNT(outstanding_balance) AS balance_n,
+       {rnd('SUM(IF(bad, outstanding_balance, 0e0))', 4)} AS bad_balance
+FROM (SELECT *, date_trunc('month', disbursal_date) AS month_of, year(disbursal_date) AS year_of FROM l)
+GROUP BY GROUPING SETS ((loan_purpose, loan_status, month_of), (customer_id, year_of))""",
+)

@@ -40,9 +40,7 @@ TIMING = {
     "labels": ["1st payment", "2nd payment", "3rd-4th payment"],
     "default": "later",
 }
-EVENT_TARGETS = ["purchase"]
-EVENT_SUPPLIERS = ["click", "error", "signup", "view"]
-NATIONS = [f"N{i:02d}" for i in range(25)]
+EVENT_TARGETS = ["purchase"]  # all other event types are its suppliers
 MANY_SWEEPS = 2000  # the SQL repeats every one of them
 RETURN_UNIT = 0.01  # activity is far noisier than prices; a hundredth looks like weekly returns
 
@@ -143,6 +141,17 @@ REPORTS: dict[str, Query] = {
     "q23_watchlist": _on_book(lb.watchlist),
 }
 
+
+
+def _book_sums(spark, folder):
+    """All sums of the one pass that feeds the reports: by kind of loan, and by borrower and year."""
+    table = lb.BookSums(src.loans(spark, folder)).table
+    kind = F.when(F.col("_by_kind"), "kind").otherwise("borrower")
+    month = e.month_of("_month").alias("month")
+    keys = [kind.alias("sums_by"), "loan_purpose", "loan_status", month, "customer_id", F.col("_year").alias("year")]
+    return tidy(table.select(*keys, *lb.SUMS), 4)  # amounts have up to three digits
+
+
 # -- building blocks on the raw tables -----------------------------------------------------
 
 
@@ -264,9 +273,16 @@ def _value_rate(spark, folder):
     )
 
 
+def _listed(df, column) -> list:
+    """The distinct values of a column that becomes columns, in order."""
+    return [r[0] for r in df.select(column).distinct().where(F.col(column).isNotNull()).orderBy(column).collect()]
+
+
 def _pivot_counts(spark, folder):
-    wide = _orders(spark, folder).groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"])
-    return wide.count().na.fill(0)
+    orders = _orders(spark, folder)
+    statuses = _listed(orders, "o_orderstatus")
+    wide = orders.groupBy("o_orderpriority").pivot("o_orderstatus", statuses)
+    return wide.count().na.fill(0, statuses)
 
 
 def _share_of_total(spark, folder):
@@ -421,6 +437,7 @@ def _business_order(spark, folder):
 
 
 BLOCKS: dict[str, Query] = {
+    "book_sums": _book_sums,
     "csv_round_trip": _csv_round_trip,
     "csv_rejects": _csv_rejects,
     "published_read_back": _published,
@@ -525,16 +542,17 @@ def _own_features(spark, folder):
 
 def event_features(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], int]:
     returns, bound = event_panel(spark, folder)
-    rows = pn.make_features(
-        returns, EVENT_TARGETS, EVENT_SUPPLIERS, lags=[0, 1, 2, 3], bound=bound
-    )
-    return rows, pn.feature_names(EVENT_SUPPLIERS, [0, 1, 2, 3]), bound
+    suppliers = [s for s in _listed(returns, "symbol") if s not in EVENT_TARGETS]
+    rows = pn.make_features(returns, EVENT_TARGETS, suppliers, lags=[0, 1, 2, 3], bound=bound)
+    return rows, pn.feature_names(suppliers, [0, 1, 2, 3]), bound
 
 
 def order_features(spark: SparkSession, folder: str) -> tuple[DataFrame, list[str], int]:
     returns, bound = order_panel(spark, folder)
-    rows = pn.make_features(returns, NATIONS, NATIONS, bound=bound)
-    return rows, pn.feature_names(NATIONS), bound
+    returns = stage(returns, "order-returns")
+    nations = _listed(returns, "symbol")
+    rows = pn.make_features(returns, nations, nations, bound=bound)
+    return rows, pn.feature_names(nations), bound
 
 
 def _features(build):

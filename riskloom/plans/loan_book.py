@@ -37,7 +37,7 @@ from ..functions.expr import (
 from ..operators.ordered import OrderedRows
 from ..operators.ranking import attach_ranks, ntile_of, top_k, value_ranks
 from ..operators.shares import concentration, joined_text, total_of, with_share
-from ..operators.skew import HOT_ROWS, GroupSizes
+from ..operators.skew import HOT_ROWS, GroupSizes, lookup_join
 from ..operators.staging import stage
 
 
@@ -45,30 +45,108 @@ def is_bad(bad: Sequence[str] = fv.BAD_STATUSES) -> Column:
     return F.col("loan_status").isin(list(bad))
 
 
-def sums_per(loans: DataFrame, keys: Sequence[str | Column], bad: Sequence[str]) -> DataFrame:
-    """Partial sums of a loan book per key; reports drop the ones they do not use."""
-    amount, rate = F.col("loan_amount"), F.col("interest_rate")
-    return loans.groupBy(*keys).agg(
+#: Grouping columns that are made from others.
+DERIVED = {
+    "_year": lambda: F.year("disbursal_date"),
+    "_month": lambda: month_start("disbursal_date"),
+}
+
+
+def _named_keys(keys: Sequence[str]) -> list[Column]:
+    return [(DERIVED[k]() if k in DERIVED else F.col(k)).alias(k) for k in keys]
+
+
+def _sums(bad: Column) -> list[Column]:
+    amount, rate, balance = F.col("loan_amount"), F.col("interest_rate"), F.col("outstanding_balance")
+    return [
         F.count(F.lit(1)).alias("n"),
-        count_if(is_bad(bad)).alias("n_bad"),
+        count_if(bad).alias("n_bad"),
         F.sum(amount).alias("amount_sum"),
         F.count(amount).alias("amount_n"),
         F.sum(rate).alias("rate_sum"),
         F.count(rate).alias("rate_n"),
-        F.sum("outstanding_balance").alias("balance_sum"),
-    )
+        F.sum(balance).alias("balance_sum"),
+        F.count(balance).alias("balance_n"),
+        sum_if(bad, balance).alias("bad_balance"),
+    ]
+
+
+SUMS = ["n", "n_bad", "amount_sum", "amount_n", "rate_sum", "rate_n", "balance_sum", "balance_n", "bad_balance"]
+
+
+class BookSums:
+    """Sums of a loan book, by kind of loan and by borrower, from one pass over its rows.
+
+    Reports that need sums only take it in place of ``loans``; their rows are the same. The pass
+    groups every row by both sets of keys and stages the sums: those by kind (purpose, status and month
+    of disbursal) are few, those by borrower (and year) as many as borrowers with loans.
+    """
+
+    KIND = ["loan_purpose", "loan_status", "_month"]
+    BORROWER = ["customer_id", "_year"]
+
+    def __init__(self, loans: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES):
+        self.bad = list(bad)
+        every = [*self.KIND, *self.BORROWER]
+        rows = loans.select(
+            *_named_keys(every),
+            is_bad(self.bad).alias("_bad"),
+            "loan_amount",
+            "interest_rate",
+            "outstanding_balance",
+        )
+        sums = rows.groupingSets(
+            [[F.col(k) for k in self.KIND], [F.col(k) for k in self.BORROWER]], *[F.col(k) for k in every]
+        ).agg(F.grouping("customer_id").cast("boolean").alias("_by_kind"), *_sums(F.col("_bad")))
+        self.table = stage(sums, "book-sums")
+        self.by_kind = stage(self.table.where("_by_kind").drop("_by_kind", *self.BORROWER), "sums-by-kind")
+        self.by_borrower = self.table.where("not _by_kind").drop("_by_kind", *self.KIND)
+
+    def per(self, keys: Sequence[str], bad: Sequence[str] | None = None) -> DataFrame:
+        """The sums added up by fewer keys, all of them of a kind or all of a borrower."""
+        if bad is not None and list(bad) != self.bad:
+            raise ValueError(f"these sums count {self.bad} as bad, not {list(bad)}")
+        if set(keys) <= set(self.KIND):
+            of = self.by_kind
+        elif set(keys) <= set(self.BORROWER):
+            of = self.by_borrower
+        else:
+            raise ValueError(f"no sums by {list(keys)}")
+        return of.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMS])
+
+
+def sums_per(
+    loans: DataFrame | BookSums, keys: Sequence[str], bad: Sequence[str] | None = None
+) -> DataFrame:
+    """Partial sums of a loan book per key; reports drop the ones they do not use."""
+    if isinstance(loans, BookSums):
+        return loans.per(keys, bad)
+    return loans.groupBy(*_named_keys(keys)).agg(*_sums(is_bad(bad or ())))
 
 
 def book_per_borrower(
-    loans: DataFrame,
+    loans: DataFrame | BookSums,
     borrowers: DataFrame,
     bad: Sequence[str] = fv.BAD_STATUSES,
-    extra: Sequence[str | Column] = (),
+    extra: Sequence[str] = (),
 ) -> DataFrame:
     """One row per borrower (and ``extra`` key) with loan sums and the borrower's attributes."""
     return sums_per(loans, ["customer_id", *extra], bad).join(borrowers, "customer_id")
 
 
+def with_borrowers(
+    loans: DataFrame,
+    borrowers: DataFrame,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """Loans with their borrower's attributes; the loans of a borrower with very many are spread."""
+    table = borrowers.withColumnRenamed("customer_id", "_borrower")
+    pairs = {"customer_id": "_borrower"}
+    return lookup_join(loans, table, pairs, hot_rows=hot_rows, sizes=sizes).drop("_borrower")
+
+
 def _npa_pct() -> Column:
     return pct(F.sum("n_bad"), F.sum("n"), 2)
 
@@ -76,7 +154,7 @@ def _npa_pct() -> Column:
 # -- overview ------------------------------------------------------------------------------
 
 
-def portfolio_summary(loans: DataFrame, borrowers: DataFrame) -> DataFrame:
+def portfolio_summary(loans: DataFrame | BookSums, borrowers: DataFrame) -> DataFrame:
     """One row for the whole book. Averages weigh every loan once."""
     return book_per_borrower(loans, borrowers).agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("total_loans"),
@@ -89,29 +167,33 @@ def portfolio_summary(loans: DataFrame, borrowers: DataFrame) -> DataFrame:
     )
 
 
-def breakdown_by_purpose(loans: DataFrame) -> DataFrame:
-    grouped = loans.groupBy("loan_purpose").agg(
-        F.count(F.lit(1)).alias("loan_count"),
-        scaled(F.sum("loan_amount"), fv.CRORE).alias("disbursed_cr"),
-        F.round(F.avg("loan_amount"), 0).alias("avg_ticket_size"),
-        F.round(F.avg("interest_rate"), 2).alias("avg_rate"),
+def breakdown_by_purpose(loans: DataFrame | BookSums) -> DataFrame:
+    sums = sums_per(loans, ["loan_purpose"])
+    grouped = sums.select(
+        "loan_purpose",
+        F.col("n").alias("loan_count"),
+        scaled("amount_sum", fv.CRORE).alias("disbursed_cr"),
+        F.round(ratio("amount_sum", "amount_n"), 0).alias("avg_ticket_size"),
+        F.round(ratio("rate_sum", "rate_n"), 2).alias("avg_rate"),
     )
-    total = total_of(loans, F.count(F.lit(1)))
+    total = total_of(sums, F.sum("n"))
     return with_share(grouped, "loan_count", total, "pct_of_portfolio", 1).orderBy(
         F.col("disbursed_cr").desc(), "loan_purpose"
     )
 
 
 def breakdown_by_status(
-    loans: DataFrame, status_order: Sequence[str] = fv.STATUS_ORDER
+    loans: DataFrame | BookSums, status_order: Sequence[str] = fv.STATUS_ORDER
 ) -> DataFrame:
     """Statuses in business order; a status outside the list comes first."""
-    grouped = loans.groupBy("loan_status").agg(
-        F.count(F.lit(1)).alias("count"),
-        scaled(F.sum("outstanding_balance"), fv.CRORE).alias("outstanding_cr"),
-        F.round(F.avg("outstanding_balance"), 0).alias("avg_outstanding"),
+    sums = sums_per(loans, ["loan_status"])
+    grouped = sums.select(
+        "loan_status",
+        F.col("n").alias("count"),
+        scaled("balance_sum", fv.CRORE).alias("outstanding_cr"),
+        F.round(ratio("balance_sum", "balance_n"), 0).alias("avg_outstanding"),
     )
-    total = total_of(loans, F.count(F.lit(1)))
+    total = total_of(sums, F.sum("n"))
     return with_share(grouped, "count", total, "pct", 2).orderBy(
         order_rank("loan_status", status_order), "loan_status"
     )
@@ -120,27 +202,28 @@ def breakdown_by_status(
 # -- delinquency ---------------------------------------------------------------------------
 
 
-def npa_by_purpose(loans: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES) -> DataFrame:
+def npa_by_purpose(loans: DataFrame | BookSums, bad: Sequence[str] = fv.BAD_STATUSES) -> DataFrame:
     """Bad-loan rate per purpose, by number of loans and by outstanding value."""
-    grouped = loans.groupBy("loan_purpose").agg(
-        F.count(F.lit(1)).alias("total_loans"),
-        count_if(is_bad(bad)).alias("npa_count"),
-        sum_if(is_bad(bad), "outstanding_balance").alias("_bad_value"),
-        F.sum("outstanding_balance").alias("_value"),
+    return (
+        sums_per(loans, ["loan_purpose"], bad)
+        .select(
+            "loan_purpose",
+            F.col("n").alias("total_loans"),
+            F.col("n_bad").alias("npa_count"),
+            pct("n_bad", "n").alias("gross_npa_pct"),
+            value_pct("bad_balance", "balance_sum").alias("npa_by_value_pct"),
+        )
+        .orderBy(F.col("gross_npa_pct").desc(), "loan_purpose")
     )
-    return grouped.select(
-        "loan_purpose",
-        "total_loans",
-        "npa_count",
-        pct("npa_count", "total_loans").alias("gross_npa_pct"),
-        value_pct("_bad_value", "_value").alias("npa_by_value_pct"),
-    ).orderBy(F.col("gross_npa_pct").desc(), "loan_purpose")
 
 
-def status_matrix(loans: DataFrame, statuses: dict[str, str] = fv.STATUS_COLUMNS) -> DataFrame:
+def status_matrix(
+    loans: DataFrame | BookSums, statuses: dict[str, str] = fv.STATUS_COLUMNS
+) -> DataFrame:
     """Loans per purpose and status. A count at one date: it holds no moves between statuses."""
+    sums = sums_per(loans, ["loan_purpose", "loan_status"])
     # naming the values spares the job that would look them up
-    counts = loans.groupBy("loan_purpose").pivot("loan_status", list(statuses)).count()
+    counts = sums.groupBy("loan_purpose").pivot("loan_status", list(statuses)).agg(F.sum("n"))
     return counts.select(
         "loan_purpose",
         *[F.coalesce(F.col(f"`{s}`"), F.lit(0)).alias(name) for s, name in statuses.items()],
@@ -148,7 +231,7 @@ def status_matrix(loans: DataFrame, statuses: dict[str, str] = fv.STATUS_COLUMNS
 
 
 def npa_by_score_band(
-    loans: DataFrame,
+    loans: DataFrame | BookSums,
     borrowers: DataFrame,
     bad: Sequence[str] = fv.BAD_STATUSES,
     bands=fv.SCORE_BANDS,
@@ -177,7 +260,7 @@ def risk_segment(segments=fv.RISK_SEGMENTS, default: str = fv.RISK_SEGMENT_DEFAU
 
 
 def segment_report(
-    loans: DataFrame,
+    loans: DataFrame | BookSums,
     borrowers: DataFrame,
     bad: Sequence[str] = fv.BAD_STATUSES,
     segment: Column | None = None,
@@ -207,14 +290,17 @@ def dti_report(
     bad: Sequence[str] = fv.BAD_STATUSES,
     cuts=fv.DTI_BANDS,
     default: str = fv.DTI_BAND_DEFAULT,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Per debt-to-income band. An unknown ratio (income zero or missing) is in the last band.
 
-    The band needs both sides of every loan, so rows are joined; a borrower with very many loans
-    is left to the skew handling of adaptive execution.
+    The band needs both sides of every loan, so rows are joined; those of a borrower with very
+    many loans are spread.
     """
     return (
-        loans.join(borrowers, "customer_id")
+        with_borrowers(loans, borrowers, hot_rows=hot_rows, sizes=sizes)
         .groupBy(band(debt_to_income(), cuts, default).alias("dti_band"))
         .agg(
             F.count(F.lit(1)).alias("loan_count"),
@@ -383,7 +469,7 @@ def partial_payments(
 
 
 def state_report(
-    loans: DataFrame, borrowers: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES
+    loans: DataFrame | BookSums, borrowers: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES
 ) -> DataFrame:
     """Per state, ranked by disbursed amount before rounding."""
     grouped = (
@@ -413,7 +499,7 @@ def state_report(
 
 
 def npa_by_age_group(
-    loans: DataFrame,
+    loans: DataFrame | BookSums,
     borrowers: DataFrame,
     bad: Sequence[str] = fv.BAD_STATUSES,
     bands=fv.AGE_BANDS,
@@ -437,14 +523,17 @@ def npa_by_age_group(
 
 
 def top_exposures(
-    loans: DataFrame, borrowers: DataFrame, k: int = fv.TOP_EXPOSURES
+    loans: DataFrame,
+    borrowers: DataFrame,
+    k: int = fv.TOP_EXPOSURES,
+    sums: BookSums | None = None,
 ) -> DataFrame:
     """Borrowers with the largest outstanding sums and their share of the whole book.
 
     The share is of all borrowers. Purposes are listed for the ``k`` shown borrowers only.
     """
     shown = ["customer_id", "name", "state", "credit_score"]
-    book = book_per_borrower(loans, borrowers).select(
+    book = book_per_borrower(loans if sums is None else sums, borrowers).select(
         *shown, F.col("n").alias("num_loans"), "balance_sum"
     )
     total = total_of(book, F.sum("balance_sum"))
@@ -458,9 +547,9 @@ def top_exposures(
     return top_k(top.join(types, "customer_id", "left"), order, k)
 
 
-def purpose_hhi(loans: DataFrame) -> DataFrame:
+def purpose_hhi(loans: DataFrame | BookSums) -> DataFrame:
     """Share of outstanding value per purpose, and one row with the index over all of them."""
-    shares = concentration(loans, "loan_purpose", "outstanding_balance")
+    shares = concentration(sums_per(loans, ["loan_purpose"]), "loan_purpose", "balance_sum")
     detail = shares.select(
         "loan_purpose",
         F.round("share", 2).alias("share_pct"),
@@ -478,12 +567,11 @@ def purpose_hhi(loans: DataFrame) -> DataFrame:
 
 
 def npa_by_vintage(
-    loans: DataFrame, borrowers: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES
+    loans: DataFrame | BookSums, borrowers: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES
 ) -> DataFrame:
     """Per year of disbursal. The score is the borrower's stored one, not a score of that year."""
-    year = F.year("disbursal_date").alias("_year")
     return (
-        book_per_borrower(loans, borrowers, bad, [year])
+        book_per_borrower(loans, borrowers, bad, ["_year"])
         .groupBy("_year")
         .agg(
             F.sum("n").alias("loans_disbursed"),
@@ -544,13 +632,16 @@ def early_defaults(
 # -- windows over report rows --------------------------------------------------------------
 
 
-def cohort_npa_change(loans: DataFrame, bad: Sequence[str] = fv.BAD_STATUSES) -> DataFrame:
+def cohort_npa_change(loans: DataFrame | BookSums, bad: Sequence[str] = fv.BAD_STATUSES) -> DataFrame:
     """Bad-loan rate per disbursal month and its change from the month before that has loans."""
     cohorts = (
-        loans.groupBy(month_start("disbursal_date").alias("_month"))
-        .agg(F.count(F.lit(1)).alias("total_loans"), count_if(is_bad(bad)).alias("npa_loans"))
-        .select(month_of("_month").alias("cohort_month"), "total_loans", "npa_loans")
-        .withColumn("npa_rate_pct", pct("npa_loans", "total_loans"))
+        sums_per(loans, ["_month"], bad)
+        .select(
+            month_of("_month").alias("cohort_month"),
+            F.col("n").alias("total_loans"),
+            F.col("n_bad").alias("npa_loans"),
+            pct("n_bad", "n").alias("npa_rate_pct"),
+        )
     )
     # one row per month at this point
     before = F.lag("npa_rate_pct").over(Window.orderBy("cohort_month"))
@@ -568,32 +659,28 @@ def exposure_ranking(
     groups: int = 4,
     *,
     hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Quartiles, percentile and rank within product; first ``k`` loans by both quartiles.
 
-    Quartiles order all loans, with ``loan_id`` deciding ties. Only the narrow sort keys are
+    Quartiles order all loans, with ``loan_id`` deciding ties. Loans meet their borrowers once. Only the narrow sort keys are
     sorted; the wide rows get their quartile by comparison with the cut rows. The percentile and
     the dense rank are looked up for the ``k`` shown loans.
     """
-    scored = loans.join(borrowers, "customer_id")
     by_score, by_amount = ["-credit_score", "loan_id"], ["-loan_amount", "loan_id"]
-    amounts = loans.join(borrowers.select("customer_id"), "customer_id")
+    shown = ["customer_id", "name", "credit_score", "annual_income"]
+    shown += ["loan_amount", "loan_status", "loan_purpose", "loan_id"]
+    joined = with_borrowers(loans, borrowers, hot_rows=hot_rows, sizes=sizes)
+    scored = stage(joined.select(*shown), "scored")
     rows = scored.select(
-        "customer_id",
-        "name",
-        "credit_score",
-        "annual_income",
-        "loan_amount",
-        "loan_status",
-        "loan_purpose",
-        "loan_id",
+        *shown,
         ntile_of(scored, groups, by_score).alias("credit_quartile"),
-        ntile_of(amounts, groups, by_amount).alias("loan_size_quartile"),
+        ntile_of(scored, groups, by_amount).alias("loan_size_quartile"),
     )
     order = ["credit_quartile", "loan_size_quartile", "loan_id"]
     top = stage(top_k(rows, order, k), "top")  # k rows
     scores = value_ranks(
-        book_per_borrower(loans, borrowers).select("credit_score", "n"),
+        scored.groupBy("credit_score").agg(F.count(F.lit(1)).alias("n")),
         "-credit_score",
         weight="n",
         hot_rows=hot_rows,
@@ -606,7 +693,7 @@ def exposure_ranking(
         F.min("loan_amount").alias("_least")
     )
     pairs = (
-        amounts.join(F.broadcast(least), F.col("loan_purpose").eqNullSafe(F.col("_purpose")))
+        scored.join(F.broadcast(least), F.col("loan_purpose").eqNullSafe(F.col("_purpose")))
         .where(F.col("_least").isNull() | (F.col("loan_amount") >= F.col("_least")))
         .select("loan_purpose", "loan_amount")
     )
@@ -646,7 +733,7 @@ def rolling_collections(repayments: DataFrame, loans: DataFrame) -> DataFrame:
 
 
 def expected_loss(
-    loans: DataFrame,
+    loans: DataFrame | BookSums,
     bad: Sequence[str] = fv.BAD_STATUSES,
     unsecured: Sequence[str] = fv.UNSECURED_PURPOSES,
     lgd_unsecured: float = fv.LGD_UNSECURED,
@@ -656,10 +743,11 @@ def expected_loss(
 
     The loss uses the default rate before rounding.
     """
-    grouped = loans.groupBy("loan_purpose").agg(
-        F.count(F.lit(1)).alias("loans"),
-        count_if(is_bad(bad)).alias("_bad"),
-        F.sum("outstanding_balance").alias("_ead"),
+    grouped = sums_per(loans, ["loan_purpose"], bad).select(
+        "loan_purpose",
+        F.col("n").alias("loans"),
+        F.col("n_bad").alias("_bad"),
+        F.col("balance_sum").alias("_ead"),
     )
     lgd = F.when(F.col("loan_purpose").isin(list(unsecured)), F.lit(lgd_unsecured))
     return (
@@ -697,21 +785,22 @@ def watchlist(
     k: int = fv.TOP_WATCHLIST,
     watched: Sequence[str] = fv.WATCH_STATUSES,
     score_below: int = fv.WATCH_SCORE_BELOW,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Late loans of low-score borrowers, most urgent first."""
-    rows = (
-        loans.where(F.col("loan_status").isin(list(watched)))
-        .join(borrowers.where(F.col("credit_score") < score_below), "customer_id")
-        .select(
-            "loan_id",
-            "name",
-            "credit_score",
-            "loan_purpose",
-            "outstanding_balance",
-            "loan_status",
-            "existing_loans_count",
-            F.round(debt_to_income() * 100, 1).alias("dti_pct"),
-            watch_flag(watched).alias("watch_flag"),
-        )
+    late = loans.where(F.col("loan_status").isin(list(watched)))
+    low = borrowers.where(F.col("credit_score") < score_below)
+    rows = with_borrowers(late, low, hot_rows=hot_rows, sizes=sizes).select(
+        "loan_id",
+        "name",
+        "credit_score",
+        "loan_purpose",
+        "outstanding_balance",
+        "loan_status",
+        "existing_loans_count",
+        F.round(debt_to_income() * 100, 1).alias("dti_pct"),
+        watch_flag(watched).alias("watch_flag"),
     )
     return top_k(rows, ["watch_flag", "credit_score", "loan_id"], k)

@@ -1,10 +1,12 @@
 """Hand-written books, expected values worked by hand."""
 
 import datetime as dt
+import random
 
 import pytest
 
 from riskloom import fixed_values as fv
+from riskloom.operators.skew import measure
 from riskloom.plans import loan_book as lb
 from riskloom.sources.schemas import BORROWERS, LOANS, REPAYMENTS
 
@@ -257,3 +259,72 @@ def test_watchlist(book):
         ("L6", "STAN"),
     ]
     assert got[1]["dti_pct"] is None and got[0]["dti_pct"] == 20.0
+
+
+def test_reports_from_one_pass(book):
+    """Reports of sums give the same rows from the loans and from the sums of one pass."""
+    loans, borrowers, _ = book
+    odd = [
+        loan("M1", None, None, 5.0, 5.0, None, 1.0),  # NULL keys in both groupings
+        loan("M2", "B1", None, None, None, "NPA", 1.0),
+        loan("M3", "B2", "Home", 4.0, None, "Closed", 1.0, dt.date(2019, 12, 31)),
+    ]
+    loans = loans.unionByName(loans.sparkSession.createDataFrame(odd, LOANS)).repartition(3)
+    undated = loans.limit(1).selectExpr("* except (disbursal_date)", "cast(null as date) as disbursal_date")
+    loans = loans.unionByName(undated.select(loans.columns))
+    sums = lb.BookSums(loans)
+    reports = [
+        lb.breakdown_by_purpose,
+        lb.breakdown_by_status,
+        lb.npa_by_purpose,
+        lb.status_matrix,
+        lb.purpose_hhi,
+        lb.cohort_npa_change,
+        lb.expected_loss,
+    ]
+    of_borrowers = [
+        lb.portfolio_summary,
+        lb.npa_by_score_band,
+        lb.segment_report,
+        lb.state_report,
+        lb.npa_by_age_group,
+        lb.npa_by_vintage,
+    ]
+    for report in reports:
+        assert rows(report(sums)) == rows(report(loans)), report.__name__
+    for report in of_borrowers:
+        assert rows(report(sums, borrowers)) == rows(report(loans, borrowers)), report.__name__
+    assert rows(lb.top_exposures(loans, borrowers, sums=sums)) == rows(lb.top_exposures(loans, borrowers))
+    assert sums.by_kind.agg({"n": "sum"}).first()[0] == loans.count()
+    plan = lb.breakdown_by_purpose(sums)._jdf.queryExecution().toString()
+    assert "sums-by-kind" in plan and "LocalTableScan" not in plan  # the loans are not read again
+    with pytest.raises(ValueError, match="as bad"):
+        lb.npa_by_purpose(sums, ["NPA"])
+    with pytest.raises(ValueError, match="no sums"):
+        sums.per(["customer_id", "loan_purpose"])
+
+
+def test_sums_of_no_loans(book):
+    loans, borrowers, _ = book
+    sums = lb.BookSums(loans.limit(0))
+    assert rows(lb.breakdown_by_status(sums)) == [] and rows(lb.npa_by_vintage(sums, borrowers)) == []
+    assert rows(lb.portfolio_summary(sums, borrowers)) == rows(lb.portfolio_summary(loans.limit(0), borrowers))
+
+
+def test_one_borrower_with_a_third_of_all_loans(spark, book):
+    """Ratio bands, ranking and watch-list where the loans of a busy borrower are spread."""
+    _, borrowers, _ = book
+    rng = random.Random(4)
+    busy = [loan(f"H{i:03d}", "B2", "Home", 100.0 + i % 7, 1.0, "30 DPD", 9000.0 + i) for i in range(60)]
+    rest = [
+        loan(f"L{i:03d}", f"B{rng.choice([1, 3, 4, 7])}", rng.choice(["Home", "Gold Loan"]), float(rng.randint(50, 200)), 2.0,
+             rng.choice(["Active", "60 DPD", "NPA"]), float(rng.randint(1, 40000)))
+        for i in range(120)
+    ]
+    loans = spark.createDataFrame(busy + rest, LOANS)
+    sizes = measure(loans, ["customer_id"], 50)
+    assert sizes.hot.values == (("B2",),)
+    for report in (lb.dti_report, lb.exposure_ranking, lb.watchlist):
+        plain = rows(report(loans, borrowers))
+        assert plain and plain == rows(report(loans, borrowers, hot_rows=50)), report.__name__
+        assert plain == rows(report(loans, borrowers, hot_rows=50, sizes=sizes)), report.__name__
