@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .loan_book import TABLES
+from .loan_book import REPORTS, TABLES
 from .text import rnd, with_tables
 
 ORDERED = "(PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
@@ -196,3 +196,7 @@ SELECT IF(GROUPING(customer_id) = 1, 'kind', 'borrower') AS sums_by, loan_purpos
 FROM (SELECT *, date_trunc('month', disbursal_date) AS month_of, year(disbursal_date) AS year_of FROM l)
 GROUP BY GROUPING SETS ((loan_purpose, loan_status, month_of), (customer_id, year_of))""",
 )
+
+# the same reports from tables stored by loan, long loans apart
+BLOCKS["stored_collections_split"] = REPORTS["q10_cumulative_collections"]
+BLOCKS["stored_defaults_split"] = REPORTS["q18_early_defaults"]

@@ -56,15 +56,21 @@ class HotKeys:
     count: int
     rows: int
     values: tuple | None = None  # key tuples, if few
+    flag: str | None = None  # column that is true for rows of these keys, where rows have it
 
     def cold(self, df: DataFrame) -> DataFrame:
+        if self.flag in df.columns:
+            return df.where(~F.col(self.flag))
         if self.values is not None:
             return df.where(~self.is_hot())
         return df.join(self.small(), key_match(df, self.table, self.names), "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys with their ``_group``."""
-        rows = df if self.values is None else df.where(self.is_hot())
+        if self.flag in df.columns:
+            rows = df.where(F.col(self.flag))
+        else:
+            rows = df if self.values is None else df.where(self.is_hot())
         joined = rows.join(self.small(), key_match(rows, self.table, self.names), "inner")
         return joined.drop(*self.names.values())
 
@@ -94,6 +100,10 @@ class GroupSizes:
 
     hot: HotKeys | None = None  # None: every group is small
 
+    def flags(self) -> list[str]:
+        """The column that rows must keep for their hot keys to be told by it, if there is one."""
+        return [self.hot.flag] if self.hot is not None and self.hot.flag else []
+
     def renamed(self, columns: Mapping[str, str]) -> GroupSizes:
         """The same sizes where key columns have new names."""
         if self.hot is None:

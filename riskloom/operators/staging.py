@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
+_tables: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -47,8 +48,15 @@ def stage(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remember_table(spark: SparkSession, name: str) -> None:
+    """A named table over staged files, whose name :func:`release_staged` is to drop."""
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(name)
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables this application staged. Call it once their results are written."""
+    for name in _tables.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _written.pop(spark.sparkContext.applicationId, [])
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in paths:

@@ -20,10 +20,11 @@ from ..operators import by_value as bv
 from ..operators import distinct as dc
 from ..operators import ranking, shares
 from ..operators.ordered import OrderedRows
-from ..operators.skew import HOT_ROWS, lookup_join
+from ..operators.skew import HOT_ROWS, GroupSizes, lookup_join
 from ..operators.staging import new_path, stage
 from ..sources import files, schemas
 from ..sources import shared_tables as src
+from ..sources.stored import store_by_key
 from . import backtest as bt
 from . import loan_book as lb
 from . import many_targets as mt
@@ -143,6 +144,25 @@ REPORTS: dict[str, Query] = {
 
 
 
+def _stored(spark, folder, hot_rows):
+    """Payments and loans stored by loan; the payments of loans above ``hot_rows`` apart."""
+    payments = src.repayments(spark, folder, numbered=True)
+    payments = store_by_key(payments, "loan_id", ["payment_month"], hot_rows=hot_rows, label="payments")
+    loans = store_by_key(src.loans(spark, folder), "loan_id", sizes=GroupSizes(), label="loans")
+    return payments, loans.rows
+
+
+def _stored_collections(spark, folder, hot_rows=6):
+    payments, _ = _stored(spark, folder, hot_rows)
+    known = {"sizes": payments.sizes, "position": "payment_month", "hot_rows": hot_rows}
+    return tidy(lb.cumulative_collections(payments.rows, ordered=False, **known), 6)
+
+
+def _stored_defaults(spark, folder, hot_rows=6):
+    payments, loans = _stored(spark, folder, hot_rows)
+    return tidy(lb.early_defaults(payments.rows, loans, src.borrowers(spark, folder), **TIMING))
+
+
 def _book_sums(spark, folder):
     """All sums of the one pass that feeds the reports: by kind of loan, and by borrower and year."""
     table = lb.BookSums(src.loans(spark, folder)).table
@@ -438,6 +458,8 @@ def _business_order(spark, folder):
 
 BLOCKS: dict[str, Query] = {
     "book_sums": _book_sums,
+    "stored_collections_split": _stored_collections,
+    "stored_defaults_split": _stored_defaults,
     "csv_round_trip": _csv_round_trip,
     "csv_rejects": _csv_rejects,
     "published_read_back": _published,

@@ -346,33 +346,38 @@ def cumulative_collections(
     hot_rows: int = HOT_ROWS,
     sizes: GroupSizes | None = None,
     position: str | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Running total and three-payment mean per loan, for some loans or for all of them.
 
     ``sizes`` of the loans and ``position``, where payments are numbered without gaps, are
-    handed to ``OrderedRows``; neither changes a result.
+    handed to ``OrderedRows``; neither changes a result. Unless ``ordered``, the rows of payments that
+    are stored by loan leave without any exchange.
     """
-    rows = repayments.select("loan_id", "payment_month", "payment_date", "amount_paid")
+    kept = sizes.flags() if sizes is not None else []
+    shown = ["loan_id", "payment_month", "payment_date", "amount_paid"]
+    rows = repayments.select(*shown, *kept)
     if loan_ids is not None:
         rows = rows.where(F.col("loan_id").isin(list(loan_ids)))
     paid = F.col("amount_paid")
+    by_loan = OrderedRows(
+        rows,
+        ["loan_id"],
+        ["payment_month"],
+        hot_rows=hot_rows,
+        sizes=sizes,
+        position=position,
+    )
     done = (
-        OrderedRows(
-            rows,
-            ["loan_id"],
-            ["payment_month"],
-            hot_rows=hot_rows,
-            sizes=sizes,
-            position=position,
-        )
-        .by_range()
+        (by_loan.by_range() if ordered else by_loan)
         .running({"cumulative_collected": ("sum", paid)})
         .nearby(
             {"rolling_3m_avg_payment": lambda w: F.avg(paid).over(w.rowsBetween(-2, 0))}, back=2
         )
         .rows()
+        .drop(*kept)
     )
-    return done.orderBy("loan_id", "payment_month")
+    return done.orderBy("loan_id", "payment_month") if ordered else done
 
 
 def late_streak_by_employment(
@@ -385,8 +390,9 @@ def late_streak_by_employment(
     position: str | None = None,
 ) -> DataFrame:
     """Share of loans with at least ``streak`` late payments in a row, per employment type."""
+    kept = sizes.flags() if sizes is not None else []
     flagged = with_streak(
-        repayments.select("customer_id", "loan_id", "payment_month", "days_late"),
+        repayments.select("customer_id", "loan_id", "payment_month", "days_late", *kept),
         ["loan_id"],
         ["payment_month"],
         F.col("days_late") > 0,
