@@ -19,6 +19,7 @@ from ..operators.skew import GROUP, HOT_ROWS, GroupSizes, measure
 from ..operators.staging import new_path, remember_table, stage
 
 APART = "_apart"
+MIN_PART = 100_000  # rows below which a part of the large keys is not divided further
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,7 @@ def store_by_key(
     rows = spark.table(name)
     if sizes.hot is None:
         return Stored(rows, sizes)
-    parts = sizes.hot.rows // hot_rows + 1
+    parts = sizes.hot.rows // max(hot_rows, MIN_PART) + 1
     apart = sizes.hot.hot(df).drop(GROUP).select(*df.columns)
     apart = stage(apart.repartitionByRange(parts, *by), f"{label}-apart")
     rows = rows.withColumn(APART, F.lit(False)).unionByName(apart.withColumn(APART, F.lit(True)))
