@@ -58,7 +58,7 @@ def loan_reports(
         "early_defaults": lb.early_defaults(repayments, loans, borrowers),
         "cohort_npa_change": lb.cohort_npa_change(sums),
         "exposure_ranking": lb.exposure_ranking(loans, borrowers, sizes=busy),
-        "rolling_collections": lb.rolling_collections(repayments, loans),
+        "rolling_collections": lb.rolling_collections(repayments, loans, sizes=sizes),
         "expected_loss": lb.expected_loss(sums),
         "watchlist": lb.watchlist(loans, borrowers, sizes=busy),
     }

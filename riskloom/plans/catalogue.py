@@ -113,7 +113,8 @@ def _early_defaults(spark, folder):
 
 
 def _rolling_collections(spark, folder):
-    return tidy(lb.rolling_collections(_payments(spark, folder)[0], src.loans(spark, folder)))
+    payments, sizes = _payments(spark, folder)
+    return tidy(lb.rolling_collections(payments, src.loans(spark, folder), sizes=sizes))
 
 
 REPORTS: dict[str, Query] = {

@@ -714,18 +714,26 @@ def exposure_ranking(
     return top_k(done, order, k).drop("loan_purpose", "loan_id")
 
 
-def rolling_collections(repayments: DataFrame, loans: DataFrame) -> DataFrame:
+def rolling_collections(
+    repayments: DataFrame,
+    loans: DataFrame,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
     """Monthly collection per product and its mean over three present months.
 
     The mean is over rows, so a month without payments is skipped; it works on the rounded sums.
+    Payments meet their loan as rows: sums per loan and month would be nearly as many, and a task
+    would hold them all. Those of a loan with very many payments are spread.
     """
-    per_loan = repayments.groupBy("loan_id", month_start("payment_date").alias("_month")).agg(
-        F.sum("amount_paid").alias("_paid")
-    )
+    kept = sizes.flags() if sizes is not None else []
+    paid = repayments.select("loan_id", "payment_date", "amount_paid", *kept)
+    product = loans.select(F.col("loan_id").alias("_loan"), "loan_purpose")
     monthly = (
-        per_loan.join(loans.select("loan_id", "loan_purpose"), "loan_id")
-        .groupBy("loan_purpose", "_month")
-        .agg(scaled(F.sum("_paid"), fv.LAKH).alias("monthly_collection"))
+        lookup_join(paid, product, {"loan_id": "_loan"}, hot_rows=hot_rows, sizes=sizes)
+        .groupBy("loan_purpose", month_start("payment_date").alias("_month"))
+        .agg(scaled(F.sum("amount_paid"), fv.LAKH).alias("monthly_collection"))
         .select("loan_purpose", month_of("_month").alias("payment_month_str"), "monthly_collection")
     )
     # one row per product and month at this point

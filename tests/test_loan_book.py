@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom import fixed_values as fv
 from riskloom.operators.skew import measure
@@ -240,6 +241,23 @@ def test_rolling_collections_by_row(book):
     assert got[-1]["rolling_3m_avg"] == round(sum(three) / 3, 2)
 
 
+def test_rolling_collections_holds_no_sums_per_loan(book):
+    loans, _, repayments = book
+    plain = lb.rolling_collections(repayments, loans)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(sums) == 1 and "loan_id" not in sums[0]
+    sizes = measure(repayments, ["loan_id"], 2)
+    assert sizes.hot.count == 1  # L1
+    twice = loans.union(loans.where("loan_id IN ('L1', 'L3')"))
+    for book_rows in (loans, twice):
+        assert rows(lb.rolling_collections(repayments, book_rows, sizes=sizes)) == rows(
+            lb.rolling_collections(repayments, book_rows)
+        )
+    got = rows(lb.rolling_collections(repayments.withColumn("amount_paid", F.lit(1e5)), twice))
+    assert [r["monthly_collection"] for r in got] == [5.0, 4.0, 2.0, 2.0, 1.0]
+
+
 def test_expected_loss(book):
     loans, _, _ = book
     got = {r["loan_purpose"]: r for r in rows(lb.expected_loss(loans.where("customer_id <> 'B7'")))}
