@@ -49,7 +49,7 @@ def loan_reports(
         "collection_trend": lb.collection_trend(repayments),
         "cumulative_collections": lb.cumulative_collections(repayments, sizes=sizes),
         "late_streak": lb.late_streak_by_employment(repayments, borrowers, sizes=sizes),
-        "partial_payments": lb.partial_payments(repayments, loans),
+        "partial_payments": lb.partial_payments(repayments, loans, sizes=sizes),
         "state_report": lb.state_report(sums, borrowers),
         "npa_by_age_group": lb.npa_by_age_group(sums, borrowers),
         "top_exposures": lb.top_exposures(loans, borrowers, sums=sums),

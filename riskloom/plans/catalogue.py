@@ -103,7 +103,8 @@ def _late_streak(spark, folder):
 
 
 def _partial_payments(spark, folder):
-    return tidy(lb.partial_payments(_payments(spark, folder)[0], src.loans(spark, folder)))
+    payments, sizes = _payments(spark, folder)
+    return tidy(lb.partial_payments(payments, src.loans(spark, folder), sizes=sizes))
 
 
 def _early_defaults(spark, folder):

@@ -3,9 +3,10 @@
 Every report takes DataFrames with the columns of ``sources.schemas`` and returns a DataFrame.
 Thresholds, labels and the statuses that count as bad are arguments.
 
-Two habits keep the reports flat when one borrower or one loan holds a large part of a table.
+Three habits keep the reports flat when one borrower or one loan holds a large part of a table.
 Rows are added up per borrower (or loan) *before* they are joined, so the join sees each key a
-bounded number of times and moves sums in place of rows. Windows over payments go through
+bounded number of times and moves sums in place of rows. Where sums would be nearly as many as the
+rows, the rows are joined and those of large keys spread (``with_product``). Windows over payments go through
 ``OrderedRows``, which splits a loan that is too long for one task.
 """
 
@@ -147,6 +148,24 @@ def with_borrowers(
     return lookup_join(loans, table, pairs, hot_rows=hot_rows, sizes=sizes).drop("_borrower")
 
 
+def with_product(
+    repayments: DataFrame,
+    loans: DataFrame,
+    columns: Sequence[str | Column],
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
+) -> DataFrame:
+    """``columns`` of the payments with their loan's product; those of a loan with very many are spread.
+
+    Payments meet their loan as rows: sums per loan would not be much fewer, and a task would hold them all.
+    """
+    kept = sizes.flags() if sizes is not None else []
+    product = loans.select(F.col("loan_id").alias("_loan"), "loan_purpose")
+    rows = repayments.select("loan_id", *columns, *kept)
+    return lookup_join(rows, product, {"loan_id": "_loan"}, hot_rows=hot_rows, sizes=sizes)
+
+
 def _npa_pct() -> Column:
     return pct(F.sum("n_bad"), F.sum("n"), 2)
 
@@ -448,24 +467,25 @@ def with_streak(
 
 
 def partial_payments(
-    repayments: DataFrame, loans: DataFrame, tolerance: float = fv.PARTIAL_TOLERANCE
+    repayments: DataFrame,
+    loans: DataFrame,
+    tolerance: float = fv.PARTIAL_TOLERANCE,
+    *,
+    hot_rows: int = HOT_ROWS,
+    sizes: GroupSizes | None = None,
 ) -> DataFrame:
     """Payments below the tolerated part of the amount due, and the total shortfall."""
     paid, due = F.col("amount_paid"), F.col("emi_due")
-    per_loan = repayments.groupBy("loan_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count("repayment_id").alias("n_payments"),
-        count_if(paid < due * F.lit(tolerance)).alias("n_partial"),
-        F.sum(F.greatest(due - paid, F.lit(0.0))).alias("shortfall"),
-    )
+    shown = ["amount_paid", "emi_due", F.col("repayment_id").isNotNull().alias("_named")]
+    n_partial = count_if(paid < due * F.lit(tolerance))
     return (
-        per_loan.join(loans.select("loan_id", "loan_purpose"), "loan_id")
+        with_product(repayments, loans, shown, hot_rows=hot_rows, sizes=sizes)
         .groupBy("loan_purpose")
         .agg(
-            F.sum("n_payments").alias("total_payments"),
-            F.sum("n_partial").alias("partial_payments"),
-            pct(F.sum("n_partial"), F.sum("n")).alias("partial_pct"),
-            scaled(F.sum("shortfall"), fv.LAKH).alias("total_shortfall_lacs"),
+            count_if(F.col("_named")).alias("total_payments"),
+            n_partial.alias("partial_payments"),
+            pct(n_partial, F.count(F.lit(1))).alias("partial_pct"),
+            scaled(F.sum(F.greatest(due - paid, F.lit(0.0))), fv.LAKH).alias("total_shortfall_lacs"),
         )
         .orderBy(F.col("partial_pct").desc(), "loan_purpose")
     )
@@ -724,14 +744,10 @@ def rolling_collections(
     """Monthly collection per product and its mean over three present months.
 
     The mean is over rows, so a month without payments is skipped; it works on the rounded sums.
-    Payments meet their loan as rows: sums per loan and month would be nearly as many, and a task
-    would hold them all. Those of a loan with very many payments are spread.
     """
-    kept = sizes.flags() if sizes is not None else []
-    paid = repayments.select("loan_id", "payment_date", "amount_paid", *kept)
-    product = loans.select(F.col("loan_id").alias("_loan"), "loan_purpose")
+    paid = ["payment_date", "amount_paid"]
     monthly = (
-        lookup_join(paid, product, {"loan_id": "_loan"}, hot_rows=hot_rows, sizes=sizes)
+        with_product(repayments, loans, paid, hot_rows=hot_rows, sizes=sizes)
         .groupBy("loan_purpose", month_start("payment_date").alias("_month"))
         .agg(scaled(F.sum("amount_paid"), fv.LAKH).alias("monthly_collection"))
         .select("loan_purpose", month_of("_month").alias("payment_month_str"), "monthly_collection")

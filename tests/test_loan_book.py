@@ -172,6 +172,21 @@ def test_partial_payments(book):
     assert got["total_shortfall_lacs"] == round(28.1 / 1e5, 2)
 
 
+def test_partial_payments_holds_no_sums_per_loan(book):
+    loans, _, repayments = book
+    some = repayments.withColumn("repayment_id", F.when(F.col("loan_id") != "L4", F.col("repayment_id")))
+    twice = loans.union(loans.where("loan_id = 'L1'"))
+    plain = lb.partial_payments(some, twice)
+    plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    sums = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert len(sums) == 1 and "loan_id" not in sums[0]
+    sizes = measure(some, ["loan_id"], 2)
+    assert sizes.hot.count == 1 and rows(lb.partial_payments(some, twice, sizes=sizes)) == rows(plain)
+    (got,) = rows(plain)  # payments without an id count in the rate only
+    assert (got["total_payments"], got["partial_payments"]) == (10, 6)
+    assert got["partial_pct"] == 50.0
+
+
 def test_state_rank_and_exposure(book):
     loans, borrowers, _ = book
     got = column(lb.state_report(loans, borrowers), "state", "portfolio_rank")
