@@ -32,6 +32,7 @@ from riskloom.llm.text_batches import (
     counts_in,
     line_spans,
     map_texts,
+    slices,
     span_hashes,
     stripped,
     text_bytes,
@@ -220,7 +221,7 @@ def keep_bitmaps(
 
 def _apply(text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text)):
             names = batch.schema.names
             column, keep = batch.column(names.index(text)), batch.column(names.index("__keep"))
             texts, n_dropped = [], np.zeros(batch.num_rows, np.int64)

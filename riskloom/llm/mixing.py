@@ -21,6 +21,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,9 +128,15 @@ def plan(
     # "n" sorts before "s...", so the null source is moved to the end
     rows = sorted(rows, key=lambda r: (r.source_key == "n", r.source_key))
     goal = targets([r.w for r in rows])
+    # Arrow tables need no Python workers: those of rows would be two more beside the ones at work
     per_source = spark.createDataFrame(
-        [(r.source_key, r.w, float(g)) for r, g in zip(rows, goal)],
-        "source_key string, source_size long, target double",
+        pa.table(
+            {
+                "source_key": pa.array([r.source_key for r in rows], pa.string()),
+                "source_size": pa.array([r.w for r in rows], pa.int64()),
+                "target": pa.array([float(g) for g in goal], pa.float64()),
+            }
+        )
     )
     schema = (
         "source_key string, block int, words long, source_size long, target double,"
@@ -155,8 +162,12 @@ def deal(rows: DataFrame, drawn: DataFrame, id_col: str, shards: int | None, see
     quota.sort(key=lambda r: r.source_key)
     split = split_quotas(np.array([r.q for r in quota], np.int64), shards, seed)
     ends = spark.createDataFrame(
-        [(r.source_key, [int(x) for x in np.cumsum(row)]) for r, row in zip(quota, split)],
-        "source_key string, ends array<long>",
+        pa.table(
+            {
+                "source_key": pa.array([r.source_key for r in quota], pa.string()),
+                "ends": pa.array([np.cumsum(row) for row in split], pa.list_(pa.int64())),
+            }
+        )
     )
     # instance i of a source (pass by pass, permuted within a pass) goes to the shard it falls in
     draws = drawn.where("copies > 0").select(

@@ -36,6 +36,7 @@ SOFTEN, ALPHA, SEED = 10.0, 1.0, 8
 BYTE_RANK = 1e6
 BLOCK_BYTES = 1 << 21
 BANDS = (4, 6, 8, 10, 13, 17, 24, 32)  # sizes of units, in bytes
+CELLS = 1 << 19  # of one lattice: units x bytes x lengths of pieces
 LONG = BANDS[-1]
 STRIP = 1 << 16  # bytes of a longer unit that are worked on at once
 SLOT_BITS, LIKELY_BITS = 18, 21
@@ -326,13 +327,18 @@ def sample(v: Vocabulary, column: pa.Array, ids: pa.Array, seed: int = SEED):
         _, one, which = np.unique(span_hashes(data, s, e, HASHER), return_index=True, return_inverse=True)
         size, drawn = (e - s)[one], []
         for least, most in zip((0, *BANDS), BANDS):  # units of like size share a table
-            some = (size > least) & (size <= most)
-            if some.any():
-                lattice = Lattice(v, data, s[one[some]], size[some])
-                mine = np.flatnonzero(some[which])
-                number = np.cumsum(some) - 1
+            some = np.flatnonzero((size > least) & (size <= most))
+            number = np.full(len(size), -1)
+            number[some] = np.arange(len(some))
+            held = np.flatnonzero(number[which] >= 0)
+            held = held[np.argsort(number[which[held]], kind="stable")]
+            each = max(1, CELLS // (most * min(v.longest, most)))
+            for k in range(0, len(some), each):
+                lattice = Lattice(v, data, s[one[some[k : k + each]]], size[some[k : k + each]])
+                ends = np.searchsorted(number[which[held]], (k, k + each))
+                mine = held[slice(*ends)]
                 out, n_out = lattice.draw(
-                    number[which[mine]], row_key[r[mine]], (e - at[r])[mine]
+                    number[which[mine]] - k, row_key[r[mine]], e[mine] - at[r[mine]]
                 )
                 count[low + mine] = n_out
                 drawn.append((mine, out, n_out))

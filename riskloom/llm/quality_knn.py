@@ -48,7 +48,7 @@ N_FEATURES = 1 << BITS
 N_SHAPES = 64 * 3
 SHAPE_HASHER = SpanHasher(21)
 LOWERED = LETTERS & ~UPPER
-ROWS = 512  # documents in one block of the product
+ROWS = 128  # documents in one block of the product; memory of a task follows it
 
 
 def text_counts(data: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 SLICE_BYTES = 1 << 21  # of text that is worked on at once; a longer text is a slice of its own
 SLICE_ROWS = 2048
-PIECE_BYTES = 1 << 20  # of text that is hashed at once, cut at white space
+PIECE_BYTES = 1 << 18  # of text that is hashed at once, cut at white space
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
